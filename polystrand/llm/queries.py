@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding, token_file
+from . import bpe, langid, packing, sharding, simhash, token_file
 from .common import table, tokenizer_path
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -25,5 +29,9 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(blocks, digest=True)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op6_packing": op6_packing, "op8_sharding": op8_sharding, "op9_token_file": op9_token_file}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op10_langid": op10_langid, "op4_bpe": op4_bpe, "op6_packing": op6_packing, "op8_sharding": op8_sharding, "op9_token_file": op9_token_file}
 ORACLES: dict[str, str] = {}
