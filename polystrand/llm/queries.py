@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, sharding, simhash, token_file
+from . import bpe, langid, packing, secret_scan, sharding, simhash, token_file, url_rules
 from .common import table, tokenizer_path
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", "kind", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,6 +22,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -33,5 +43,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op10_langid": op10_langid, "op4_bpe": op4_bpe, "op6_packing": op6_packing, "op8_sharding": op8_sharding, "op9_token_file": op9_token_file}
+QUERIES = {"op2_secrets": op2_secrets, "op5_urls": op5_urls, "op3_simhash": op3_simhash, "op10_langid": op10_langid, "op4_bpe": op4_bpe, "op6_packing": op6_packing, "op8_sharding": op8_sharding, "op9_token_file": op9_token_file}
 ORACLES: dict[str, str] = {}
