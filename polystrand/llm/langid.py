@@ -195,3 +195,17 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fitted on all but the held-out documents."""
     model = fit(docs, ~held_out())
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: dict, least_score: float = 0.3) -> DataFrame:
+    """The rows whose language is known with at least ``least_score``, unchanged."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            keep = []
+            for value in b.column(b.schema.get_field_index("text")):
+                found = ngram_counts(value.as_py()) if model["languages"] else None
+                keep.append(found is not None and softmax(scores(tf_idf(found, model["idf"]), model["weights"]) / model["temperature"]).max() >= least_score)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
