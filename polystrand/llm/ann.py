@@ -12,7 +12,7 @@ Equal vectors are one class with its least ids: of a class no more than ``k`` +
 can be among a query's ``k`` nearest, so this loses nothing.
 
 Defined cases: vectors null, zero or with null or non-finite components, and those of
-another length than the least id's, take no part; ties go to the smaller id; with fewer
+another length than the least id's, take no part, nor do rows without an id; repeated rows count once; ties go to the smaller id; with fewer
 than ``k`` candidates all are returned; an empty table gives no row.
 """
 
@@ -93,7 +93,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     spark = embeddings.sparkSession
     rows = valid_vectors(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
     first = rows.agg(F.min(F.struct("vec_id", "dim"))["dim"]).first()[0] or 0
-    rows = rows.where(F.col("dim") == first).select("vec_id", "embedding")
+    rows = rows.where((F.col("dim") == first) & F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
     classes = staged(classes_of(rows, k), "classes")
     n = classes.count()
     place = F.pmod(F.xxhash64(F.lit(1), F.col("cls")), F.lit(1 << 30))

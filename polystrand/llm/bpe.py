@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters that are encoded at once, and the longest fragment merged by matrix.
 CHUNK, WIDE = 3_000_000, 40
 #: Below this point a piece is Latin: its case and word ends need no table of the library.

@@ -11,7 +11,7 @@ names the least vector that links within the group reach, so no pair leaves it.
 Equal vectors of one label are one class, linked to each other; counts are by members.
 
 Defined cases: vectors null, zero or with null or non-finite components, or without a
-label, link with nothing and keep their row; vectors of different lengths do not link;
+label or an id, link with nothing and keep their row; vectors of different lengths do not link;
 ties do not arise; repeated rows are members of one class; an empty table gives no row.
 """
 
@@ -148,7 +148,7 @@ def matrix_int(column: pa.ChunkedArray) -> np.ndarray:
 def near_duplicates(embeddings: DataFrame, like: float = LIKE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    rows = valid_vectors(every).where(F.col("label").isNotNull()).withColumn("key", F.xxhash64("embedding"))
+    rows = valid_vectors(every).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("key", F.xxhash64("embedding"))
     classes = rows.groupBy("label", "key", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight"), F.first("dim").alias("dim"))
     classes = staged(classes, "classes")
     codes = staged(filed(classes), "cells")
@@ -169,8 +169,8 @@ def near_duplicates(embeddings: DataFrame, like: float = LIKE) -> DataFrame:
     sums = found.groupBy("cls").agg(F.sum("links").alias("links"))
     of = classes.join(sums, "cls", "left").join(reached, "cls", "left")
     of = of.select(F.col("label").alias("_label"), F.col("key").alias("_key"), F.col("embedding").alias("_embedding"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "cls").alias("c"))
-    keyed = every.withColumn("key", F.xxhash64("embedding"))
     # classes hold valid vectors with a label alone, so other rows find none
+    keyed = every.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.xxhash64("embedding")))
     out = keyed.join(of, (F.col("key") == F.col("_key")) & (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -148,7 +148,7 @@ def mask_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFram
     found = find_secrets(docs, findings).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("secret").alias("_secrets"))
     # the longest first, so that a secret within another leaves no rest
     ordered = F.transform(F.sort_array(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
-    rows = docs.join(found.select("_doc", ordered.alias("_secrets")), F.col("doc_id") == F.col("_doc"), "left")
+    rows = docs.join(found.select("_doc", ordered.alias("_secrets")), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -110,6 +110,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the least doc_id; rows that repeat its
-    doc_id count as the same document."""
+    doc_id count as the same document. Rows without a doc_id can't stand for a group and
+    all stay."""
     classes = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -280,7 +280,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: int, end_id: int) -> DataFra
         def closed():
             nonlocal block, base, n, found, keys, lengths
             payload = encode_block(np.concatenate(found), vocab)
-            row = [[part], [block], [base], [n], [np.array(keys, "<i8").tobytes()], [np.array(lengths, "<i8").tobytes()], [payload]]
+            row = [[part], [block], [base], [n], [keys], [lengths], [payload]]
             block, base, n, found, keys, lengths = block + 1, base + n, 0, [], [], []
             return pa.record_batch([pa.array(x, t) for x, t in zip(row, BLOCK_TYPES, strict=True)], names=BLOCK_COLUMNS)
 
@@ -295,14 +295,14 @@ def write_tokens(docs: DataFrame, path: str, vocab: int, end_id: int) -> DataFra
         if keys:
             yield closed()
 
-    schema = "part int, block int, base long, n_ids long, doc_ids binary, lengths binary, payload binary"
+    schema = "part int, block int, base long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(rows, schema), "tokens")
 
 
 BLOCK_COLUMNS = ["part", "block", "base", "n_ids", "doc_ids", "lengths", "payload"]
-BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
 
 def read_tokens(blocks: DataFrame, digest: bool = False) -> DataFrame:
@@ -317,10 +317,10 @@ def read_tokens(blocks: DataFrame, digest: bool = False) -> DataFrame:
         for b in batches:
             for start, keys, lengths, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = decode_block(payload)
-                lengths = np.frombuffer(lengths, "<i8")
+                lengths = np.array(lengths, dtype=np.int64)
                 ends = np.cumsum(lengths)
                 each = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                out = [pa.array(np.frombuffer(keys, "<i8")), pa.array(start + ends - lengths)]
+                out = [pa.array(keys, pa.int64()), pa.array(start + ends - lengths)]
                 if digest:
                     yield pa.record_batch([*out, pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 else:
