@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.algebra import fold_product
@@ -11,8 +11,13 @@ from ..session import cut
 #: Rounds, and alternatives of one merged symbol, that are tried at most.
 ROUNDS, LARGEST = 10_000, 1 << 22
 
-BY = Window.partitionBy("eds_id").orderBy("pos")
-ALL = Window.partitionBy("eds_id")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("eds_id").orderBy("pos")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("eds_id")
 
 
 def merged(symbols: DataFrame, group, linear: bool) -> DataFrame:
@@ -35,17 +40,17 @@ def merge_adjacent(symbols: DataFrame, p: int, q: int, linear: bool = False) ->
         raise ValueError("positions are not adjacent")
     if p < 0:
         raise IndexError("position out of range")
-    short = F.max("pos").over(ALL) < q
+    short = F.max("pos").over(whole()) < q
     checked = symbols.withColumn("pos", F.when(short, F.raise_error(F.lit("position out of range")).cast("long")).otherwise(F.col("pos")))
     return merged(checked, F.when(F.col("pos") == q, p).otherwise(F.col("pos")), linear)
 
 
 def candidates(symbols: DataFrame, least: int) -> DataFrame:
     """symbols with ``cand``: the symbol and the next one break the rule of context ``least``."""
-    inner = (F.col("pos") > F.min("pos").over(ALL)) & (F.col("pos") < F.max("pos").over(ALL))
+    inner = (F.col("pos") > F.min("pos").over(whole())) & (F.col("pos") < F.max("pos").over(whole()))
     short = (F.size("alts") == 1) & inner & (F.length(F.col("alts")[0]["s"]) < least)
     rows = symbols.withColumn("_short", short).withColumn("_deg", F.size("alts") > 1)
-    cand = F.lead("pos").over(BY).isNotNull() & (F.col("_short") | F.lead("_short").over(BY) | (F.col("_deg") & F.lead("_deg").over(BY)))
+    cand = F.lead("pos").over(in_order()).isNotNull() & (F.col("_short") | F.lead("_short").over(in_order()) | (F.col("_deg") & F.lead("_deg").over(in_order())))
     return rows.withColumn("cand", F.coalesce(cand, F.lit(False))).drop("_short", "_deg")
 
 
@@ -54,7 +59,7 @@ def is_leds(symbols: DataFrame, least: int) -> DataFrame:
     if least == 0:
         return symbols.select("eds_id").distinct().withColumn("is_leds", F.lit(True))
     rows = candidates(symbols, least)
-    inner_short = (F.size("alts") == 1) & (F.col("pos") > F.min("pos").over(ALL)) & (F.col("pos") < F.max("pos").over(ALL)) & (F.length(F.col("alts")[0]["s"]) < least)
+    inner_short = (F.size("alts") == 1) & (F.col("pos") > F.min("pos").over(whole())) & (F.col("pos") < F.max("pos").over(whole())) & (F.length(F.col("alts")[0]["s"]) < least)
     rows = rows.withColumn("_bad", inner_short | F.col("cand"))
     return rows.groupBy("eds_id").agg((~F.bool_or("_bad")).alias("is_leds"))
 
@@ -63,7 +68,7 @@ def pairs(symbols: DataFrame, least: int) -> DataFrame:
     """symbols with ``pick``: the greedy left-to-right choice of independent candidate pairs,
     which is every second candidate of a run."""
     rows = candidates(symbols, least)
-    rows = rows.withColumn("_run", F.sum((~F.col("cand")).cast("int")).over(BY))
+    rows = rows.withColumn("_run", F.sum((~F.col("cand")).cast("int")).over(in_order()))
     at = F.row_number().over(Window.partitionBy("eds_id", "_run", "cand").orderBy("pos"))
     return rows.withColumn("pick", F.col("cand") & (at % 2 == 1)).drop("_run")
 
@@ -77,26 +82,26 @@ def to_leds(symbols: DataFrame, least: int, linear: bool = False) -> DataFrame:
     if not linear:
         symbols = symbols.withColumn("alts", F.transform("alts", lambda x: F.struct(x["s"].alias("s"), F.lit(None).cast("array<int>").alias("src"))))
     rows = symbols.withColumn("_one", F.size("alts") == 1)
-    fused = F.coalesce(F.col("_one") & F.lead("_one").over(BY), F.lit(False))
+    fused = F.coalesce(F.col("_one") & F.lead("_one").over(in_order()), F.lit(False))
     if linear:
         union = F.array_sort(F.array_distinct(F.flatten(F.transform("alts", lambda x: x["src"]))))
         rows = rows.withColumn("_u", F.array_except(union, F.array(F.lit(0)))).withColumn("_any0", F.array_contains(union, 0))
-        rows = rows.withColumn("_all", F.size(F.array_distinct(F.flatten(F.collect_list("_u").over(ALL)))))
+        rows = rows.withColumn("_all", F.size(F.array_distinct(F.flatten(F.collect_list("_u").over(whole())))))
         empty = F.exists("alts", lambda x: F.size(x["src"]) == 0)
         partial = F.when(F.col("_one"), ~F.col("_any0")).otherwise((F.size("_u") < F.col("_all")) | empty)
     else:
         partial = F.lit(False)
-    rows = rows.withColumn("_f", fused | partial).withColumn("_slow", F.bool_or("_f").over(ALL))
+    rows = rows.withColumn("_f", fused | partial).withColumn("_slow", F.bool_or("_f").over(whole()))
     rows = cut(rows.select("eds_id", "pos", "alts", "_slow"))
     fast = candidates(rows.where("not _slow").drop("_slow"), least)
-    edge = F.coalesce(F.lag("cand").over(BY), F.lit(False))
-    fast = fast.withColumn("_g", F.sum((~edge).cast("int")).over(BY))
+    edge = F.coalesce(F.lag("cand").over(in_order()), F.lit(False))
+    fast = fast.withColumn("_g", F.sum((~edge).cast("int")).over(in_order()))
     out = merged(fast.select("eds_id", "pos", "alts", "_g"), F.col("_g"), linear)
     slow = rows.where("_slow").drop("_slow")
     for _ in range(ROUNDS):
         picked = cut(pairs(slow, least).select("eds_id", "pos", "alts", "pick"))
         if not picked.where("pick").limit(1).count():
             return out.unionByName(picked.drop("pick"))
-        second = F.coalesce(F.lag("pick").over(BY), F.lit(False))
+        second = F.coalesce(F.lag("pick").over(in_order()), F.lit(False))
         slow = cut(merged(picked.withColumn("_to", F.col("pos") - second.cast("int")).drop("pick"), F.col("_to"), linear))
     raise RuntimeError("no fixpoint within the allowed rounds")

@@ -126,7 +126,7 @@ def source_intersect(spark, sf_dir):
 
 def neighbours(spark, sf_dir):
     rows = fx.eds_separated(spark, sf_dir)
-    return rows.select("eds_id", "pos", "alts", F.lead("alts").over(leds.BY).alias("next")).where("next is not null")
+    return rows.select("eds_id", "pos", "alts", F.lead("alts").over(leds.in_order()).alias("next")).where("next is not null")
 
 
 @registered
