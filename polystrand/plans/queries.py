@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import alts_text, intersect, product
 from ..operators import index as ix
-from ..operators import leds, msa, query, vcf
+from ..operators import generate, leds, msa, query, vcf
 from ..sources import eds
 from . import fixtures as fx
 from .oracles import ORACLES  # noqa: F401
@@ -292,3 +292,13 @@ def vcf_to_eds(spark, sf_dir):
 def vcf_to_leds(spark, sf_dir):
     symbols = vcf.to_symbols(variants(spark, sf_dir), vcf.parse_fasta(fx.fasta_parts(spark, sf_dir)))
     return shown(leds.to_leds(symbols, 2, linear=True))
+
+
+@registered
+def random_eds(spark, sf_dir):
+    return shown(generate.random_eds(spark, "random", 5000, 400, max_alts=4))
+
+
+@registered
+def generate_patterns(spark, sf_dir):
+    return generate.generate_patterns(ix.index(fx.eds_separated(spark, sf_dir)), 5, 10)
