@@ -21,11 +21,10 @@ size; an empty table gives an empty file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, Memo
+from .bpe import CHUNK
 from .common import shuffle_partitions, staged
 
 HEADER = struct.Struct("<4sIIII")
@@ -47,9 +46,8 @@ PREVIOUS_FACTOR, ID_FACTOR = np.int32(7919), np.int32(31337)
 TOP_SHIFT, TOP, BOTTOM, WORD = np.uint64(48), np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 ONE, LOW_WORD = np.uint64(1), np.uint64(0xFFFF)
 BOTTOM_MASK = np.uint64((1 << 32) - 1)
-BLANKS = re.compile(r" (?:\s|\Z)")
 #: Pieces that go to the library as one text, and that are remembered.
-JOINED, REMEMBERED = 64, 700_000
+JOINED, REMEMBERED = 64, 1_400_000
 #: Ids after which a block is closed at the next document.
 BLOCK_IDS = 1 << 20
 
@@ -195,8 +193,12 @@ def decode_lanes(words: np.ndarray, sizes: np.ndarray, vocab: int, steps: int) -
         parts = rest + model.total
         span //= parts.view(np.uint64)
         value = np.minimum(((code - low) // span).view(np.int64), parts - 1)
-        now = (np.searchsorted(model.cumulative, value - rest, side="right") - 1).astype(np.int32)
-        now = np.where(value < part2, id2, np.where(value < rest, id1, now))
+        now = np.where(value < part2, id2, id1)
+        open_ = np.flatnonzero(value >= rest)
+        # in the order of values the search is quicker
+        count = value[open_] - rest[open_]
+        order = np.argsort(count)
+        now[open_[order]] = np.searchsorted(model.cumulative, count[order], side="right") - 1
         is2, is1 = now == id2, now == id1
         start = np.where(is2, 0, np.where(is1, part2, rest + model.cumulative.take(now)))
         width = np.where(is2, part2, np.where(is1, rest - part2, model.counts.take(now)))
@@ -210,13 +212,22 @@ def decode_lanes(words: np.ndarray, sizes: np.ndarray, vocab: int, steps: int) -
     return np.ascontiguousarray(grid.T).reshape(-1)
 
 
+class Numbered(dict):
+    """Numbers for pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class PieceEncoder:
     """The tokenizers library over pieces: with a byte-level vocabulary a text splits for
     certain before each blank that a visible character follows, so pieces are encoded
-    once, in batches, and put together. Texts with other white space after a blank go
-    through the library whole."""
+    once, in batches, and put together by number. Texts with other white space or an added
+    token after a blank go through the library whole. At most about ``limit`` pieces are
+    remembered; beyond that the half that was asked for most since the last time stays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -227,38 +238,80 @@ class PieceEncoder:
         self.bytes_of = np.zeros(max(named.values()) + 1, dtype=np.int64)
         for token, i in named.items():  # each letter of a token is a byte
             self.bytes_of[i] = len(token)
-        self.memo = Memo(self.encode_pieces, REMEMBERED)
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces joined to texts of ``JOINED``, as the library spends much on each text; the
-        ids fall to pieces by the bytes that they stand for."""
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.limit, self.numbers = limit, Numbered()
+        # the ids of piece k are ids[starts[k] : starts[k] + sizes[k]]
+        self.ids, self.filled = np.zeros(1 << 16, dtype="<u4"), 0
+        self.starts, self.sizes, self.asked = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.odd = np.zeros(0, dtype=bool)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and where each piece's end. Pieces are joined to
+        texts of ``JOINED``, as the library spends much on each text; the ids fall to
+        pieces by the bytes that they stand for."""
         whole = [f" {p}" for p in pieces]
         texts = ["".join(whole[i : i + JOINED]) for i in range(0, len(whole), JOINED)]
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), dtype="<u4", count=sum(map(len, found)))
-        ends = np.cumsum(self.bytes_of[ids])
         lengths = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in whole), np.int64, len(whole))
-        cuts = [0, *(4 * (np.searchsorted(ends, np.cumsum(lengths)) + 1)).tolist()]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths)) + 1
+
+    def learn(self, pieces: list[str]) -> None:
+        """Stores the ids of ``pieces``, which have the next numbers."""
+        odd = [not p or p[0].isspace() or p.startswith(self.added) for p in pieces]
+        plain = pieces if True not in odd else [p for p, o in zip(pieces, odd, strict=True) if not o]
+        ids, ends = self.encode_pieces(plain) if plain else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.filled], np.zeros(self.filled // 2 + 2 * len(ids), dtype="<u4")])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        odd = np.array(odd, dtype=bool)
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        sizes[~odd] = np.diff(ends, prepend=0)
+        self.starts = np.concatenate([self.starts, self.filled + np.cumsum(sizes) - sizes])
+        self.sizes, self.odd = np.concatenate([self.sizes, sizes]), np.concatenate([self.odd, odd])
+        self.asked = np.concatenate([self.asked, np.zeros(len(pieces), dtype=np.int64)])
+        self.filled += len(ids)
+
+    def forget(self) -> None:
+        """Keeps the half of ``limit`` that was asked for most, in the order of numbers."""
+        keep = np.sort(np.argsort(-self.asked, kind="stable")[: self.limit // 2])
+        pieces = list(self.numbers)
+        self.numbers = Numbered((pieces[k], n) for n, k in enumerate(keep.tolist()))
+        self.ids = self.gather(keep)
+        self.filled, self.sizes, self.odd = len(self.ids), self.sizes[keep], self.odd[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.asked = np.zeros(len(keep), dtype=np.int64)
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces end to end."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(sizes.sum())]
 
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each whole text, as unsigned 32-bit integers."""
         at = 0
         while at < len(texts):
-            chunk, size = [], 0
+            if len(self.numbers) > self.limit:
+                self.forget()
+            known, firsts, chunk, each, size = len(self.numbers), [], [], [], 0
             while at < len(texts) and (not chunk or size < CHUNK):
                 text = texts[at] or ""
                 # a blank stands before every piece but the first
-                chunk.append((text, None if BLANKS.search(text) else text.split(" ")))
+                first, *pieces = text.split(" ")
+                chunk.append(text)
+                firsts.append(first)
+                each.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
                 size, at = size + len(text), at + 1
-            table = self.memo.lookup(set().union(*(p[1:] for _, p in chunk if p)))
-            for text, pieces in chunk:
-                if pieces is None:
+            if len(self.numbers) > known:
+                self.learn(list(islice(self.numbers, known, None)))
+            self.asked += np.bincount(np.concatenate(each), minlength=len(self.numbers))
+            begun = [e.ids for e in self.library.encode_batch_fast(firsts, add_special_tokens=False)]
+            for text, first, numbers in zip(chunk, begun, each, strict=True):
+                if self.odd[numbers].any():
                     yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
                 else:
-                    first = self.library.encode(pieces[0], add_special_tokens=False).ids
-                    yield np.frombuffer(np.array(first, dtype="<u4").tobytes() + b"".join(map(table.__getitem__, pieces[1:])), dtype="<u4")
+                    yield np.concatenate([np.array(first, dtype="<u4"), self.gather(numbers)])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
