@@ -24,7 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,14 @@ ONE, LOW_WORD = np.uint64(1), np.uint64(0xFFFF)
 BOTTOM_MASK = np.uint64((1 << 32) - 1)
 #: Pieces that go to the library as one text, and that are remembered.
 JOINED, REMEMBERED = 64, 1_400_000
+#: Pieces that are looked up at once, and what a remembered piece is. Its key: the first
+#: and the second eight bytes, its length (FIRST more at the start of a text, or LONG).
+SLICE, FIRST, LONG = 1 << 17, 32, 255
+PIECE = np.dtype([("low", "<u8"), ("high", "<u8"), ("length", "u1"), ("odd", "?"), ("start", "<i8"), ("size", "<i8"), ("asked", "<i8")], align=True)
+KEY = ("low", "high", "length")
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+#: The bytes of a word that belong to a piece of 0 to 8 bytes.
+PART = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 #: Ids after which a block is closed at the next document.
 BLOCK_IDS = 1 << 20
 
@@ -212,20 +220,16 @@ def decode_lanes(words: np.ndarray, sizes: np.ndarray, vocab: int, steps: int) -
     return np.ascontiguousarray(grid.T).reshape(-1)
 
 
-class Numbered(dict):
-    """Numbers for pieces in the order in which they are first asked for."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        return number
-
-
 class PieceEncoder:
     """The tokenizers library over pieces: with a byte-level vocabulary a text splits for
     certain before each blank that a visible character follows, so pieces are encoded
     once, in batches, and put together by number. Texts with other white space or an added
-    token after a blank go through the library whole. At most about ``limit`` pieces are
-    remembered; beyond that the half that was asked for most since the last time stays."""
+    token after a blank go through the library whole.
+
+    Pieces of up to 16 bytes are looked up in arrays, by open addressing: two words hold a
+    piece's bytes, so that equal keys are equal pieces. Longer ones are in a dictionary.
+    At most about ``limit`` pieces are remembered; beyond that the half that was asked for
+    most since the last time stays."""
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -239,16 +243,42 @@ class PieceEncoder:
         for token, i in named.items():  # each letter of a token is a byte
             self.bytes_of[i] = len(token)
         self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.limit, self.numbers = limit, Numbered()
-        # the ids of piece k are ids[starts[k] : starts[k] + sizes[k]]
+        self.limit, self.known, self.long = limit, 0, {}
+        self.slots = np.full(1 << (4 * (limit + SLICE)).bit_length(), -1, dtype=np.int32)
+        self.shift = np.uint64(65 - len(self.slots).bit_length())
+        # piece k: its key (two words of bytes; length, and FIRST at a text's start), the
+        # place of its ids, whether its text needs the library, how often it was asked for
+        self.rows = np.zeros(limit + SLICE, dtype=PIECE)
         self.ids, self.filled = np.zeros(1 << 16, dtype="<u4"), 0
-        self.starts, self.sizes, self.asked = (np.zeros(0, dtype=np.int64) for _ in range(3))
-        self.odd = np.zeros(0, dtype=bool)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of ``keys``; new ones get the next numbers, and only their key is set."""
+        spread = (keys["low"] * MIX[0]) ^ (keys["high"] * MIX[1]) ^ (keys["length"].astype(np.uint64) * MIX[2])
+        spread ^= spread >> np.uint64(29)
+        at = ((spread * MIX[0]) >> self.shift).view(np.int64)
+        numbers = self.slots.take(at)
+        rest = np.flatnonzero((numbers < 0) | ~same_key(self.rows, numbers, keys, slice(None)))
+        while len(rest):
+            # the last to write itself into an empty slot has it
+            own = at[rest]
+            free = self.slots[own] < 0
+            bids, owners = rest[free], own[free]
+            self.slots[owners] = -2 - bids
+            won = self.slots[owners] == -2 - bids
+            new = self.known + np.arange(won.sum(), dtype=np.int32)
+            self.slots[owners[won]] = new
+            for field in KEY:
+                self.rows[field][new] = keys[field][bids[won]]
+            self.known += len(new)
+            numbers[rest] = self.slots[own]
+            rest = rest[~same_key(self.rows, numbers[rest], keys, rest)]
+            at[rest] = (at[rest] + 1) & (len(self.slots) - 1)
+        return numbers
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces end to end, and where each piece's end. Pieces are joined to
-        texts of ``JOINED``, as the library spends much on each text; the ids fall to
-        pieces by the bytes that they stand for."""
+        """The ids of pieces, a blank before each, end to end, and where each piece's end.
+        Pieces are joined to texts of ``JOINED``, as the library spends much on each text;
+        the ids fall to pieces by the bytes that they stand for."""
         whole = [f" {p}" for p in pieces]
         texts = ["".join(whole[i : i + JOINED]) for i in range(0, len(whole), JOINED)]
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -256,62 +286,135 @@ class PieceEncoder:
         lengths = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in whole), np.int64, len(whole))
         return ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths)) + 1
 
-    def learn(self, pieces: list[str]) -> None:
-        """Stores the ids of ``pieces``, which have the next numbers."""
-        odd = [not p or p[0].isspace() or p.startswith(self.added) for p in pieces]
-        plain = pieces if True not in odd else [p for p, o in zip(pieces, odd, strict=True) if not o]
-        ids, ends = self.encode_pieces(plain) if plain else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+    def learn(self, first: int, pieces: list[str], begins: np.ndarray) -> None:
+        """Stores the ids of ``pieces``, numbered from ``first`` on; ``begins``: the piece
+        stands at a text's start, without a blank."""
+        odd = np.array([not p or p[0].isspace() or p.startswith(self.added) for p in pieces], dtype=bool) & ~begins
+        usual = np.flatnonzero(~odd & ~begins).tolist()
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        places = np.zeros(len(pieces), dtype=np.int64)
+        starting = [e.ids for e in self.library.encode_batch_fast([pieces[k] for k in np.flatnonzero(begins).tolist()], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(starting), "<u4", count=sum(map(len, starting)))
+        sizes[begins] = [*map(len, starting)]
+        places[begins] = np.cumsum(sizes[begins]) - sizes[begins]
+        if usual:
+            others, ends = self.encode_pieces([pieces[k] for k in usual])
+            sizes[usual] = np.diff(ends, prepend=0)
+            places[usual] = len(ids) + ends - sizes[usual]
+            ids = np.concatenate([ids, others])
         if self.filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.filled], np.zeros(self.filled // 2 + 2 * len(ids), dtype="<u4")])
         self.ids[self.filled : self.filled + len(ids)] = ids
-        odd = np.array(odd, dtype=bool)
-        sizes = np.zeros(len(pieces), dtype=np.int64)
-        sizes[~odd] = np.diff(ends, prepend=0)
-        self.starts = np.concatenate([self.starts, self.filled + np.cumsum(sizes) - sizes])
-        self.sizes, self.odd = np.concatenate([self.sizes, sizes]), np.concatenate([self.odd, odd])
-        self.asked = np.concatenate([self.asked, np.zeros(len(pieces), dtype=np.int64)])
+        rows = self.rows[first : first + len(pieces)]
+        rows["start"], rows["size"], rows["odd"], rows["asked"] = self.filled + places, sizes, odd, 0
         self.filled += len(ids)
 
     def forget(self) -> None:
         """Keeps the half of ``limit`` that was asked for most, in the order of numbers."""
-        keep = np.sort(np.argsort(-self.asked, kind="stable")[: self.limit // 2])
-        pieces = list(self.numbers)
-        self.numbers = Numbered((pieces[k], n) for n, k in enumerate(keep.tolist()))
-        self.ids = self.gather(keep)
-        self.filled, self.sizes, self.odd = len(self.ids), self.sizes[keep], self.odd[keep]
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.asked = np.zeros(len(keep), dtype=np.int64)
+        keep = np.sort(np.argsort(-self.rows["asked"][: self.known], kind="stable")[: self.limit // 2])
+        ids, rows = self.gather(keep), self.rows[keep]
+        renamed = np.full(self.known, -1, dtype=np.int64)
+        renamed[keep] = np.arange(len(keep))
+        self.long = {p: n for p, k in self.long.items() if (n := int(renamed[k])) >= 0}
+        self.ids, self.filled, self.known = ids, len(ids), 0
+        self.slots.fill(-1)
+        short = np.flatnonzero(rows["length"] != LONG)
+        numbers = self.place(rows[short])  # each key is new, and gets a number of its own
+        order = np.empty(len(keep), dtype=np.int64)
+        order[short] = numbers
+        rest = np.flatnonzero(rows["length"] == LONG)
+        order[rest] = self.known + np.arange(len(rest))
+        self.known = len(keep)
+        self.long = {p: int(order[n]) for p, n in self.long.items()}
+        rows["start"], rows["asked"] = np.cumsum(rows["size"]) - rows["size"], 0
+        self.rows[order] = rows
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of pieces end to end."""
-        sizes = self.sizes[numbers]
+        sizes = self.rows["size"][numbers]
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(sizes.sum())]
-
-    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        return self.ids[np.repeat(self.rows["start"][numbers] - ends + sizes, sizes) + np.arange(sizes.sum())]
+
+    def numbered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The numbers of at most ``SLICE`` pieces of ``data`` (eight spare bytes at its
+        ends), which are known afterwards."""
+        if self.known > self.limit:
+            self.forget()
+        first, lengths = self.known, ends - starts
+        numbers = np.empty(len(starts), dtype=np.int64)
+        brief = lengths <= 16
+        at, size = (starts, lengths) if brief.all() else (starts[brief], lengths[brief])
+        keys = np.empty(len(at), dtype=PIECE[list(KEY)])
+        words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+        keys["low"] = words[at] & PART[np.minimum(size, 8)]
+        keys["high"] = words[at + 8] & PART[np.maximum(size - 8, 0)]
+        keys["length"] = size + FIRST * begins[brief]
+        numbers[brief] = self.place(keys)
+        fresh = np.zeros(self.known - first, dtype=np.int64)
+        where = np.flatnonzero(brief)
+        late = where[numbers[where] >= first]
+        fresh[numbers[late] - first] = late
+        pieces = [bytes(data[a:b]) for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+        new = [begins[fresh]]
+        for k in np.flatnonzero(~brief).tolist():
+            piece = (bytes(data[starts[k] : ends[k]]), bool(begins[k]))
+            if piece not in self.long:
+                self.long[piece] = self.known
+                self.rows["length"][self.known] = LONG
+                self.known += 1
+                pieces.append(piece[0])
+                new.append(np.array([piece[1]]))
+            numbers[k] = self.long[piece]
+        if pieces:
+            self.learn(first, [p.decode() for p in pieces], np.concatenate(new))
+        np.add.at(self.rows["asked"], numbers, 1)
+        return numbers
+
+    def encode_many(self, texts: list[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """The ids of each whole text, as unsigned 32-bit integers."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("").cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         at = 0
         while at < len(texts):
-            if len(self.numbers) > self.limit:
-                self.forget()
-            known, firsts, chunk, each, size = len(self.numbers), [], [], [], 0
-            while at < len(texts) and (not chunk or size < CHUNK):
-                text = texts[at] or ""
-                # a blank stands before every piece but the first
-                first, *pieces = text.split(" ")
-                chunk.append(text)
-                firsts.append(first)
-                each.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
-                size, at = size + len(text), at + 1
-            if len(self.numbers) > known:
-                self.learn(list(islice(self.numbers, known, None)))
-            self.asked += np.bincount(np.concatenate(each), minlength=len(self.numbers))
-            begun = [e.ids for e in self.library.encode_batch_fast(firsts, add_special_tokens=False)]
-            for text, first, numbers in zip(chunk, begun, each, strict=True):
-                if self.odd[numbers].any():
-                    yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            # whole texts of CHUNK bytes or so
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK)))
+            end = min(end, len(texts))
+            own = bounds[at : end + 1] - bounds[at] + 8
+            data = np.zeros(own[-1] + 24, dtype=np.uint8)
+            data[8 : own[-1]] = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[at] : bounds[end]]
+            # a piece starts with each text and after each blank
+            blanks = np.flatnonzero(data[: own[-1]] == 32)
+            counts = np.diff(np.searchsorted(blanks, own)) + 1
+            first = np.cumsum(counts) - counts
+            starts = np.empty(len(blanks) + len(counts), dtype=np.int64)
+            begins = np.zeros(len(starts), dtype=bool)
+            begins[first] = True
+            starts[begins], starts[~begins] = own[:-1], blanks + 1
+            ends = np.empty_like(starts)
+            last = np.zeros(len(starts), dtype=bool)
+            last[first + counts - 1] = True
+            ends[last], ends[~last] = own[1:], blanks
+            ids, sizes, odd = [], [], []
+            for k in range(0, len(starts), SLICE):
+                part = slice(k, k + SLICE)
+                numbers = self.numbered(data, starts[part], ends[part], begins[part])
+                ids.append(self.gather(numbers))
+                sizes.append(self.rows["size"][numbers])
+                odd.append(self.rows["odd"][numbers])
+            ids, n = np.concatenate(ids), np.add.reduceat(np.concatenate(sizes), first)
+            whole = np.logical_or.reduceat(np.concatenate(odd), first)
+            cuts = np.cumsum(n)
+            for k, (b, size) in enumerate(zip(cuts.tolist(), n.tolist(), strict=True)):
+                if whole[k]:
+                    yield np.array(self.library.encode(texts[at + k].as_py(), add_special_tokens=False).ids, dtype="<u4")
                 else:
-                    yield np.concatenate([np.array(first, dtype="<u4"), self.gather(numbers)])
+                    yield ids[b - size : b]
+            at = end
+
+
+def same_key(rows: np.ndarray, numbers: np.ndarray, keys: np.ndarray, at) -> np.ndarray:
+    """Whether rows ``numbers`` have the keys at ``at``."""
+    return np.logical_and.reduce([rows[field][numbers] == keys[field][at] for field in KEY])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -338,7 +441,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: int, end_id: int) -> DataFra
             return pa.record_batch([pa.array(x, t) for x, t in zip(row, BLOCK_TYPES, strict=True)], names=BLOCK_COLUMNS)
 
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), own.encode_many(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), own.encode_many(b.column(1)), strict=True):
                 keys.append(key)
                 lengths.append(len(ids) + 1)
                 found += [ids, end]
