@@ -161,7 +161,7 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         owners.append(np.arange(lanes))
         low <<= WORD
     owner, word = np.concatenate(owners), np.concatenate(words)
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner.astype(np.uint16), kind="stable")  # of 16 bits: a radix sort
     sizes = np.bincount(owner, minlength=lanes).astype("<u4")
     body = zlib.compress(sizes.tobytes(), 1)
     return HEADER.pack(MAGIC, n, vocab, len(body), zlib.crc32(ids.tobytes())) + body + word[order].tobytes()
@@ -244,7 +244,7 @@ class PieceEncoder:
             self.bytes_of[i] = len(token)
         self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.limit, self.known, self.long = limit, 0, {}
-        self.slots = np.full(1 << (4 * (limit + SLICE)).bit_length(), -1, dtype=np.int32)
+        self.slots = np.full(1 << (2 * (limit + SLICE)).bit_length(), -1, dtype=np.int32)
         self.shift = np.uint64(65 - len(self.slots).bit_length())
         # piece k: its key (two words of bytes; length, and FIRST at a text's start), the
         # place of its ids, whether its text needs the library, how often it was asked for
@@ -420,15 +420,20 @@ def same_key(rows: np.ndarray, numbers: np.ndarray, keys: np.ndarray, at) -> np.
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder for each file and Python worker, whatever the number of its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(docs: DataFrame, path: str, vocab: int, end_id: int) -> DataFrame:
     """Writes the ids of every document and its end id, in ascending doc_id order, as blocks
     in the shared folder, and returns the table of blocks that was read back from there.
     The part number and the ids before a block within its part say where the block stands."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = PieceEncoder(path)
-        own = _ENCODERS[path]
+        own = piece_encoder(path)
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4")
         block = base = n = 0
         found, keys, lengths = [], [], []
