@@ -51,6 +51,7 @@ JOINED, REMEMBERED = 64, 1_400_000
 #: Pieces that are looked up at once, and what a remembered piece is. Its key: the first
 #: and the second eight bytes, its length (FIRST more at the start of a text, or LONG).
 SLICE, FIRST, LONG = 1 << 17, 32, 255
+HEAVY, WIDE = 1 << 25, 256
 PIECE = np.dtype([("low", "<u8"), ("high", "<u8"), ("length", "u1"), ("odd", "?"), ("start", "<i8"), ("size", "<i8"), ("asked", "<i8")], align=True)
 KEY = ("low", "high", "length")
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -228,8 +229,9 @@ class PieceEncoder:
 
     Pieces of up to 16 bytes are looked up in arrays, by open addressing: two words hold a
     piece's bytes, so that equal keys are equal pieces. Longer ones are in a dictionary.
-    At most about ``limit`` pieces are remembered; beyond that the half that was asked for
-    most since the last time stays."""
+    At most about ``limit`` pieces are remembered; beyond that, or after ``HEAVY`` bytes of
+    new long ones, the half that was asked for most since the last time stays, but no
+    piece of over ``WIDE`` ids."""
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -243,7 +245,7 @@ class PieceEncoder:
         for token, i in named.items():  # each letter of a token is a byte
             self.bytes_of[i] = len(token)
         self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.limit, self.known, self.long = limit, 0, {}
+        self.limit, self.known, self.long, self.heavy = limit, 0, {}, 0
         self.slots = np.full(1 << (2 * (limit + SLICE)).bit_length(), -1, dtype=np.int32)
         self.shift = np.uint64(65 - len(self.slots).bit_length())
         # piece k: its key (two words of bytes; length, and FIRST at a text's start), the
@@ -310,13 +312,14 @@ class PieceEncoder:
         self.filled += len(ids)
 
     def forget(self) -> None:
-        """Keeps the half of ``limit`` that was asked for most, in the order of numbers."""
+        """Keeps the half of ``limit`` that was asked for most, no wide piece among them."""
         keep = np.sort(np.argsort(-self.rows["asked"][: self.known], kind="stable")[: self.limit // 2])
+        keep = keep[self.rows["size"][keep] <= WIDE]
         ids, rows = self.gather(keep), self.rows[keep]
         renamed = np.full(self.known, -1, dtype=np.int64)
         renamed[keep] = np.arange(len(keep))
         self.long = {p: n for p, k in self.long.items() if (n := int(renamed[k])) >= 0}
-        self.ids, self.filled, self.known = ids, len(ids), 0
+        self.ids, self.filled, self.known, self.heavy = ids, len(ids), 0, 0
         self.slots.fill(-1)
         short = np.flatnonzero(rows["length"] != LONG)
         numbers = self.place(rows[short])  # each key is new, and gets a number of its own
@@ -338,7 +341,7 @@ class PieceEncoder:
     def numbered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """The numbers of at most ``SLICE`` pieces of ``data`` (eight spare bytes at its
         ends), which are known afterwards."""
-        if self.known > self.limit:
+        if self.known > self.limit or self.heavy > HEAVY:
             self.forget()
         first, lengths = self.known, ends - starts
         numbers = np.empty(len(starts), dtype=np.int64)
@@ -362,6 +365,7 @@ class PieceEncoder:
                 self.long[piece] = self.known
                 self.rows["length"][self.known] = LONG
                 self.known += 1
+                self.heavy += len(piece[0])
                 pieces.append(piece[0])
                 new.append(np.array([piece[1]]))
             numbers[k] = self.long[piece]

@@ -336,7 +336,8 @@ def test_piece_encoder_matches_the_library():
     own = token_file.PieceEncoder(BYTE, limit=20)
     odd = [None, "", " ", "a  b", "x\n <|endoftext|> y", "<|endoftext|>", " a<|endoftext|>b c", "a \x1cb", "a\x85 b 　c", " b ", "é ü   z", "it's don't 's", "\n\n a", "a\t b"]
     many = [f"word{k} and word{k + 1} the end" for k in range(60)]
-    for part in (odd, many[:30], odd, many):  # more pieces than the encoder remembers
+    wide = ["x9" * 300_000 + " y", None] * 2 + [f"{'qz' * k}{k}" for k in range(9000, 9900)]
+    for part in (odd, many[:30], odd, many, wide, many):  # more pieces than the encoder remembers
         for text, ids in zip(part, own.encode_many(part), strict=True):
             assert ids.tolist() == own.library.encode(text or "", add_special_tokens=False).ids
     assert own.known < 20 + token_file.SLICE
