@@ -27,37 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-REMEMBERED = 250_000
+from .pieces import SLICE, PieceTable, buffers
+
+REMEMBERED = 400_000
 #: Characters that are encoded at once, and the longest fragment merged by matrix.
-CHUNK, WIDE = 3_000_000, 40
+CHUNK, WIDE = 1_000_000, 40
 #: Below this point a piece is Latin: its case and word ends need no table of the library.
 #: (White space here is what the library takes for it.)
 LATIN_END_POINT = 0x180
 LATIN_END = chr(LATIN_END_POINT)
 
 
-class Memo:
-    """Results for pieces, in two generations of ``limit`` entries each: what was not
-    asked for during a whole generation is forgotten."""
-
-    def __init__(self, make_many, limit: int = REMEMBERED):
-        self.make_many, self.limit, self.now, self.older = make_many, limit, {}, {}
-
-    def lookup(self, keys: set[str]) -> dict[str, bytes]:
-        """A table that holds all of ``keys``."""
-        if len(self.now) > self.limit:
-            self.older, self.now = self.now, {}
-        missing = keys - self.now.keys()
-        if missing and self.older:
-            again = missing & self.older.keys()
-            self.now.update({k: self.older[k] for k in again})
-            missing -= again
-        if missing:
-            missing = list(missing)
-            self.now.update(zip(missing, self.make_many(missing), strict=True))
-        return self.now
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: the byte's own
     character if it is printable, else the next one from U+0100 on."""
@@ -71,6 +51,8 @@ def byte_letters() -> list[str]:
 
 
 SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
+#: Which bytes are white space.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class ForcedBoundaryBPE:
@@ -105,7 +87,7 @@ class ForcedBoundaryBPE:
         self.inside = inside
         self.library = Tokenizer.from_file(path)
         self.tables()
-        self.memo = Memo(self.encode_pieces)
+        self.table = WordTable(self.encode_pieces)
 
     def tables(self) -> None:
         """Symbols and merges as arrays. Symbols 0 to 255 of ``plain`` and ``final`` are
@@ -261,19 +243,38 @@ class ForcedBoundaryBPE:
                 out += self.encode_pieces([part])[0]
         return out
 
-    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_many(self, texts: list[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """The ids of each whole text, as unsigned 32-bit integers."""
+        texts, bounds, letters = buffers(texts)
         at = 0
         while at < len(texts):
-            chunk, size = [], 0
-            while at < len(texts) and (not chunk or size < CHUNK):
-                text = texts[at] or ""
-                odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to Python alone
-                chunk.append([p for p in SPACE.split(text) if p] if odd else text.split())
-                size, at = size + len(text), at + 1
-            table = self.memo.lookup(set().union(*chunk))
-            for pieces in chunk:
-                yield np.frombuffer(b"".join(map(table.__getitem__, pieces)), dtype="<u4")
+            # whole texts of CHUNK bytes or so
+            end = min(max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK))), len(texts))
+            own = bounds[at : end + 1] - bounds[at] + 8
+            data = np.full(own[-1] + 24, 32, dtype=np.uint8)
+            data[8 : own[-1]] = letters[bounds[at] : bounds[end]]
+            # pieces lie between white space and at the ends of texts
+            solid = ~BLANK[data]
+            solid[:8] = solid[own[-1] :] = False
+            starts = solid.copy()
+            starts[1:] &= ~solid[:-1]
+            starts[own[:-1]] |= solid[own[:-1]]
+            starts = np.flatnonzero(starts)
+            ends = solid.copy()
+            ends[:-1] &= ~solid[1:]
+            ends[own[1:] - 1] |= solid[own[1:] - 1]
+            ends = np.flatnonzero(ends) + 1
+            ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(1, dtype=np.int64)]
+            for k in range(0, len(starts), SLICE):
+                part = slice(k, k + SLICE)
+                numbers = self.table.numbered(data, starts[part], ends[part], np.zeros(len(starts[part]), dtype=bool))
+                ids.append(self.table.gather(numbers))
+                sizes.append(self.table.rows["size"][numbers])
+            ids, before = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+            cuts = before[np.searchsorted(starts, own)].tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield ids[a:b]
+            at = end
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_many([text]))
@@ -286,6 +287,22 @@ class ForcedBoundaryBPE:
         return bytes(self.numbers[c] for c in "".join(tokens)).decode("utf-8", "replace")
 
 
+class WordTable(PieceTable):
+    """Pieces between ASCII white space; other white space is split here."""
+
+    def __init__(self, encode_pieces, limit: int = REMEMBERED):
+        super().__init__(limit)
+        self.encode_pieces = encode_pieces
+
+    def learn(self, first: int, pieces: list[str], begins: np.ndarray) -> None:
+        parts = [[p] if p.isascii() or not SPACE.search(p) else [x for x in SPACE.split(p) if x] for p in pieces]
+        flat = [x for ps in parts for x in ps]
+        raw = self.encode_pieces(flat) if flat else []
+        ends = np.cumsum([0, *map(len, raw)]) // 4
+        cuts = ends[np.cumsum([0, *map(len, parts)])]
+        self.store(first, np.frombuffer(b"".join(raw), dtype="<u4"), cuts[:-1], np.diff(cuts), False)
+
+
 _ENCODERS: dict[str, ForcedBoundaryBPE] = {}
 
 
@@ -303,7 +320,7 @@ def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     def rows(batches: Iterator[pa.RecordBatch]):
         own = encoder(path)
         for b in batches:
-            ids = list(own.encode_many(b.column(1).to_pylist()))
+            ids = list(own.encode_many(b.column(1)))
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64()))], names=[key, "ids"])
 
     return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(rows, schema)
@@ -318,7 +335,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         decimal = {i: str(i) for i in own.tokens}
         for b in batches:
             counts, of_ids, of_text = [], [], []
-            for found in own.encode_many(b.column(1).to_pylist()):
+            for found in own.encode_many(b.column(1)):
                 ids = found.tolist()
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())

@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
         own, end = encoder(path), np.array([end_id], dtype="<u4")
         for b in batches:
             out = ([], [], [], [], [])
-            for doc, found in zip(b.column(0).to_pylist(), own.encode_many(b.column(1).to_pylist()), strict=True):
+            for doc, found in zip(b.column(0).to_pylist(), own.encode_many(b.column(1)), strict=True):
                 ids = np.concatenate([found, end])
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     piece = ids[start : start + capacity]
