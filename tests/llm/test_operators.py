@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from polystrand.llm import ann, bpe, e8, graph, langid, packing, secret_scan, sharding, simhash, token_file, url_rules
+from polystrand.llm import ann, bpe, e8, graph, langid, packing, secret_scan, sharding, shingles, simhash, token_file, url_rules
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 VOICES = {"en": "the of and thing with that ringer over", "fr": "le la des et queue eau était où", "de": "der die das und über mich schön"}
@@ -188,6 +188,49 @@ def test_links_of_all_distances(spark):
     assert len({(found[signed(v)], root[v]) for v in values}) == len(set(found.values())) == len(set(root.values()))
 
 
+def near_texts():
+    """Texts with copies at similarities on both sides of 0.8, chains among them."""
+    rnd, out = random.Random(12), []
+    words = [f"w{k}" for k in range(3000)]
+    for _ in range(12):
+        base = rnd.choices(words, k=rnd.randrange(30, 200))
+        for _ in range(8):
+            own = list(rnd.choice([base, out[-1].split() if out else base]))
+            for _ in range(rnd.randrange(0, 4)):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            out.append(" ".join(own))
+    line = " ".join(rnd.choices(words, k=12))
+    return out + [f"{line} {' '.join(rnd.choices(words, k=rnd.randrange(1, 40)))}" for _ in range(40)]
+
+
+def brute_kept(found, width=5, like=0.8):
+    """The doc_ids that stay of (doc_id, text)."""
+    sets = []
+    for _, x in found:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    root = [i for i, _ in found]
+    links = [[j for j in range(len(sets)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= like] for i in range(len(sets))]
+    while (new := [min(root[j] for j in own) for own in links]) != root:
+        root = new
+    return sorted(set(root))
+
+
+def test_near_copies(spark, docs, none):
+    found = list(enumerate(near_texts()))
+    rows = spark.createDataFrame(found, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in shingles.keep_first(rows).collect())
+    assert kept == brute_kept(found) and 40 < len(kept) < len(found) - 20
+    assert sorted(r.doc_id for r in shingles.keep_first(rows, 3, 0.6).collect()) == brute_kept(found, 3, 0.6)
+    odd = [(i, x) for i, x, _ in texts() if i is not None]
+    assert sorted(str(r.doc_id) for r in shingles.keep_first(docs).collect()) == sorted([*map(str, brute_kept(odd)), "None"])
+    assert shingles.keep_first(none).count() == 0
+    # the stage keeps what the similarity keeps; op3's digest left copies in
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == brute_kept(found)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 60)] + [(400, 400), (500, 501), (501, 502), (502, 500)]
     rows = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
