@@ -4,7 +4,9 @@ shared priority queue, with exact reranking of the leaves' rows.
 Trees are fitted on a sample of at most ``SAMPLE`` distinct vectors, chosen by a hash of the
 id: each node cuts its rows at the median of a random projection. Every row is filed in one
 leaf a tree. For a query one queue over all trees holds the nodes still to open, by the sum
-of squared distances to the cuts on the way; it yields ``SHARE`` of all leaves. Leaf rows
+of squared distances to the cuts on the way; it yields ``SHARE`` of all leaves, and more
+until some tree's leaves hold ``k`` + 1 rows or all. Tables of at most ``LEAF_ROWS``
+distinct vectors are one leaf. Leaf rows
 and the queries that reached them meet in groups of bounded size (a leaf is dealt to blocks
 of about ``BLOCK`` rows), which give each query's nearest by exact cosines.
 
@@ -61,16 +63,18 @@ class Forest:
             out[:, t] = at - self.inner + (t << self.depth)
         return out
 
-    def search(self, queries: np.ndarray, visits: int) -> Iterator[list[int]]:
-        """For each query the ``visits`` leaves that one queue over all trees yields."""
+    def search(self, queries: np.ndarray, visits: int, held: np.ndarray, enough: int) -> Iterator[list[int]]:
+        """For each query the ``visits`` leaves that one queue over all trees yields, and
+        more until those of one tree hold ``enough`` rows, by the rows ``held`` a leaf."""
         trees, inner = len(self.cuts), self.inner
         margins = np.einsum("qd,tnd->qtn", queries, self.normals, optimize=True) - self.cuts
         for own in margins.tolist():
-            queue, found = [(0.0, t, 0) for t in range(trees)], []
-            while queue and len(found) < visits:
+            queue, found, reached = [(0.0, t, 0) for t in range(trees)], [], [0] * trees
+            while queue and (len(found) < visits or max(reached) < enough):
                 far, t, node = heapq.heappop(queue)
                 if node >= inner:
                     found.append(node - inner + (t << self.depth))
+                    reached[t] += int(held[found[-1]])
                     continue
                 m = own[t][node]
                 heapq.heappush(queue, (far, t, 2 * node + 1 + (m > 0)))
@@ -100,14 +104,31 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     bound = int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
     sample = classes.where(place < bound).orderBy("cls").select("embedding").toArrow()
     x = units(matrix(sample["embedding"])) if len(sample) else np.zeros((0, max(first, 1)))
-    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / LEAF_ROWS)), 3, DEEPEST))
-    forest = spark.sparkContext.broadcast(Forest(x, depth))
-    visits = max(1, round(SHARE * (TREES << depth)))
+    depth = int(np.clip(np.ceil(np.log2(n / LEAF_ROWS)), 3, DEEPEST)) if n > LEAF_ROWS else 0
+    trees = TREES if depth else 1
+    forest = spark.sparkContext.broadcast(Forest(x, depth, trees))
+    visits = max(1, round(SHARE * (trees << depth)))
     blocks = max(1, -(-n // ((1 << depth) * BLOCK)))
     element = classes.schema["embedding"].dataType.simpleString()
     schema = f"leaf long, block int, query long, cls long, ids array<long>, embedding {element}"
     names = ["leaf", "block", "query", "cls", "ids", "embedding"]
 
+    def counted(batches: Iterator[pa.RecordBatch]):
+        held = np.zeros(trees << depth, dtype=np.int64)
+        for b in batches:
+            if len(b):
+                held += np.bincount(forest.value.leaves(units(matrix(b.column(0)))).reshape(-1), minlength=len(held))
+        leaf = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(leaf), pa.array(held[leaf])], names=["leaf", "n"])
+
+    held = np.zeros(trees << depth, dtype=np.int64)
+    if depth:
+        sizes = classes.select("embedding").mapInArrow(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+        held[sizes["leaf"].to_numpy()] = sizes["n"].to_numpy()
+    else:
+        held[:] = n
+    enough = min(k + 1, n)
+
     def filed(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             if not len(b):
@@ -122,7 +143,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 512):
                 part = b.slice(lo, 512)
-                found = list(forest.value.search(units(matrix(part.column(1))), visits))
+                found = list(forest.value.search(units(matrix(part.column(1))), visits, held, enough))
                 leaf = np.repeat(np.concatenate(found), blocks)
                 at = pa.array(np.repeat(np.arange(len(part)), [len(f) * blocks for f in found]))
                 block = np.tile(np.arange(blocks, dtype=np.int32), len(leaf) // blocks)

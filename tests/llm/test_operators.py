@@ -335,6 +335,27 @@ def test_nearest(vectors):
     assert ann.nearest(vectors.limit(0), lambda v: v % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 6, 10])
+def test_nearest_of_few(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    rows = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda v: v >= 0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(n):
+        best = sorted((v for v in range(n) if v != q), key=lambda v: -(u[v] @ u[q]))[:5]
+        assert [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] == best
+
+
+def test_search_goes_on_for_enough_rows():
+    # all rows but one in one direction: most leaves are empty
+    x = np.concatenate([np.tile([[0.6, 0.8]], (40, 1)), [[-0.8, 0.6]]])
+    forest = ann.Forest(x, 3)
+    leaves = forest.leaves(x)
+    held = np.bincount(leaves.reshape(-1), minlength=4 << 3)
+    for found in forest.search(x, 1, held, 6):
+        assert np.isin(leaves, found).any(1).sum() >= 6
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_embedding_duplicates(vectors, block, monkeypatch):
     monkeypatch.setattr(e8, "BLOCK", block)
