@@ -13,8 +13,9 @@ of about ``BLOCK`` rows), which give each query's nearest by exact cosines.
 Equal vectors are one class with its least ids: of a class no more than ``k`` + 1 members
 can be among a query's ``k`` nearest, so this loses nothing.
 
-Defined cases: vectors null, zero or with null or non-finite components, and those of
-another length than the least id's, take no part, nor do rows without an id; repeated rows count once; ties go to the smaller id; with fewer
+Defined cases: vectors null, zero or with null or non-finite components take no part, nor
+do rows without an id; vectors of each length are searched among themselves, each length
+in a forest of its own; repeated rows count once; ties go to the smaller id; with fewer
 than ``k`` candidates all are returned; an empty table gives no row.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,70 +93,88 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return least.select(F.col("ids")[0].alias("cls"), "ids", "embedding")
 
 
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length in a column of vectors, and the places of its rows."""
+    lengths = pc.list_value_length(column).to_numpy()
+    for length in np.unique(lengths).tolist():
+        yield length, np.flatnonzero(lengths == length)
+
+
 def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows by cosine of each row for
     which the column ``is_query`` of vec_id holds."""
     spark = embeddings.sparkSession
     rows = valid_vectors(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
-    first = rows.agg(F.min(F.struct("vec_id", "dim"))["dim"]).first()[0] or 0
-    rows = rows.where((F.col("dim") == first) & F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
+    rows = rows.where("vec_id is not null").select("vec_id", "embedding").distinct()
     classes = staged(classes_of(rows, k), "classes")
-    n = classes.count()
-    place = F.pmod(F.xxhash64(F.lit(1), F.col("cls")), F.lit(1 << 30))
-    bound = int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
-    sample = classes.where(place < bound).orderBy("cls").select("embedding").toArrow()
-    x = units(matrix(sample["embedding"])) if len(sample) else np.zeros((0, max(first, 1)))
-    depth = int(np.clip(np.ceil(np.log2(n / LEAF_ROWS)), 3, DEEPEST)) if n > LEAF_ROWS else 0
-    trees = TREES if depth else 1
-    forest = spark.sparkContext.broadcast(Forest(x, depth, trees))
-    visits = max(1, round(SHARE * (trees << depth)))
-    blocks = max(1, -(-n // ((1 << depth) * BLOCK)))
+    counts = {r.dim: r.n for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()}
+    # lengths of more than one leaf share the sample
+    large = [dim for dim, n in counts.items() if n > LEAF_ROWS]
+    samples = {}
+    if large:
+        bounds = F.create_map(*(F.lit(x) for dim in large for x in (dim, int((1 << 30) * min(1.0, SAMPLE / len(large) / counts[dim])))))
+        place = F.pmod(F.xxhash64(F.lit(1), F.col("cls")), F.lit(1 << 30))
+        sample = classes.where(place < bounds[F.size("embedding")]).orderBy("cls").select("embedding").toArrow()["embedding"].combine_chunks()
+        samples = {dim: units(matrix(sample.take(pa.array(at)))) for dim, at in by_length(sample)}
+    forests, firsts, visits, blocks, total = {}, {}, {}, {}, 0
+    for dim, n in counts.items():
+        depth = int(np.clip(np.ceil(np.log2(n / LEAF_ROWS)), 3, DEEPEST)) if n > LEAF_ROWS else 0
+        trees = TREES if depth else 1
+        forests[dim] = Forest(samples.get(dim, np.zeros((0, dim))), depth, trees)
+        firsts[dim], total = total, total + (trees << depth)
+        visits[dim] = max(1, round(SHARE * (trees << depth)))
+        blocks[dim] = max(1, -(-n // ((1 << depth) * BLOCK)))
+    forest = spark.sparkContext.broadcast(forests)
     element = classes.schema["embedding"].dataType.simpleString()
     schema = f"leaf long, block int, query long, cls long, ids array<long>, embedding {element}"
     names = ["leaf", "block", "query", "cls", "ids", "embedding"]
 
     def counted(batches: Iterator[pa.RecordBatch]):
-        held = np.zeros(trees << depth, dtype=np.int64)
+        held = np.zeros(total, dtype=np.int64)
         for b in batches:
-            if len(b):
-                held += np.bincount(forest.value.leaves(units(matrix(b.column(0)))).reshape(-1), minlength=len(held))
+            for dim, places in by_length(b.column(0)):
+                leaves = forest.value[dim].leaves(units(matrix(b.column(0).take(pa.array(places)))))
+                held += np.bincount(leaves.reshape(-1) + firsts[dim], minlength=total)
         leaf = np.flatnonzero(held)
         yield pa.record_batch([pa.array(leaf), pa.array(held[leaf])], names=["leaf", "n"])
 
-    held = np.zeros(trees << depth, dtype=np.int64)
-    if depth:
-        sizes = classes.select("embedding").mapInArrow(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(total, dtype=np.int64)
+    for dim, n in counts.items():
+        if dim not in large:
+            held[firsts[dim]] = n
+    if large:
+        split = classes.where(F.size("embedding").isin(large)).select("embedding")
+        sizes = split.mapInArrow(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
         held[sizes["leaf"].to_numpy()] = sizes["n"].to_numpy()
-    else:
-        held[:] = n
-    enough = min(k + 1, n)
 
     def filed(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            if not len(b):
-                continue
-            leaves = forest.value.leaves(units(matrix(b.column(2))))
-            at = pa.array(np.repeat(np.arange(len(b)), leaves.shape[1]))
-            cls = b.column(0).take(at)
-            block = (cls.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks)
-            yield pa.record_batch([pa.array(leaves.reshape(-1)), pa.array(block.astype(np.int32)), pa.nulls(len(at), pa.int64()), cls, b.column(1).take(at), b.column(2).take(at)], names=names)
+        for whole in batches:
+            for dim, places in by_length(whole.column(2)):
+                b = whole.take(pa.array(places))
+                leaves = forest.value[dim].leaves(units(matrix(b.column(2)))) + firsts[dim]
+                at = pa.array(np.repeat(np.arange(len(b)), leaves.shape[1]))
+                cls = b.column(0).take(at)
+                block = (cls.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks[dim])
+                yield pa.record_batch([pa.array(leaves.reshape(-1)), pa.array(block.astype(np.int32)), pa.nulls(len(at), pa.int64()), cls, b.column(1).take(at), b.column(2).take(at)], names=names)
 
     def asked(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                found = list(forest.value.search(units(matrix(part.column(1))), visits, held, enough))
-                leaf = np.repeat(np.concatenate(found), blocks)
-                at = pa.array(np.repeat(np.arange(len(part)), [len(f) * blocks for f in found]))
-                block = np.tile(np.arange(blocks, dtype=np.int32), len(leaf) // blocks)
-                ids = pa.nulls(len(at), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(leaf), pa.array(block), part.column(0).take(at), pa.nulls(len(at), pa.int64()), ids, part.column(1).take(at)], names=names)
+        for whole in batches:
+            for dim, places in by_length(whole.column(1)):
+                n = blocks[dim]
+                for lo in range(0, len(places), 512):
+                    part = whole.take(pa.array(places[lo : lo + 512]))
+                    found = list(forest.value[dim].search(units(matrix(part.column(1))), visits[dim], held[firsts[dim] :], min(k + 1, counts[dim])))
+                    leaf = np.repeat(np.concatenate(found), n) + firsts[dim]
+                    at = pa.array(np.repeat(np.arange(len(part)), [len(f) * n for f in found]))
+                    block = np.tile(np.arange(n, dtype=np.int32), len(leaf) // n)
+                    ids = pa.nulls(len(at), pa.list_(pa.int64()))
+                    yield pa.record_batch([pa.array(leaf), pa.array(block), part.column(0).take(at), pa.nulls(len(at), pa.int64()), ids, part.column(1).take(at)], names=names)
 
     def reranked(table: pa.Table) -> pa.Table:
         """The ``k`` + 1 classes nearest to each query of one group."""
         out = ([], [], [], [])
         is_row = table["query"].is_null()
-        index, queries = table.filter(is_row), table.filter(pa.compute.invert(is_row))
+        index, queries = table.filter(is_row), table.filter(pc.invert(is_row))
         if len(index) and len(queries):
             cls, ids, rows = index["cls"].to_numpy(), index["ids"].to_pylist(), units(matrix(index["embedding"]))
             for lo in range(0, len(queries), 256):

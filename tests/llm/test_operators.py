@@ -346,6 +346,21 @@ def test_nearest_of_few(spark, n):
         assert [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] == best
 
 
+def test_nearest_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = [rng.standard_normal(3), *rng.standard_normal((1500, 16)), *rng.standard_normal((20, 4)), rng.standard_normal(3)]
+    rows = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda v: v % 100 < 2).collect()
+    lengths = np.array([len(v) for v in x])
+    hits = wanted = 0
+    for q in (i for i in range(len(x)) if i % 100 < 2):
+        cos = {i: float(x[i] @ x[q] / np.linalg.norm(x[i]) / np.linalg.norm(x[q])) for i in np.flatnonzero(lengths == lengths[q]).tolist() if i != q}
+        best = sorted(cos, key=lambda i: -cos[i])[:5]
+        own = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)
+        assert len(own) == len(best) and all(abs(r.score - cos[r.vec_id]) < 1e-12 for r in own)
+        hits, wanted = hits + len({r.vec_id for r in own} & set(best)), wanted + len(best)
+    assert hits >= 0.8 * wanted
+
+
 def test_search_goes_on_for_enough_rows():
     # all rows but one in one direction: most leaves are empty
     x = np.concatenate([np.tile([[0.6, 0.8]], (40, 1)), [[-0.8, 0.6]]])
