@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.algebra import fold_product
+from ..functions.algebra import ALTS, fold_product, product
 from ..session import cut
 
-#: Rounds, and alternatives of one merged symbol, that are tried at most.
+#: Rounds, and alternatives of one merged symbol, that are tried at most: with sources those
+#: that share a path, else all combinations.
 ROUNDS, LARGEST = 10_000, 1 << 22
 
 
@@ -25,11 +26,18 @@ def merged(symbols: DataFrame, group, linear: bool) -> DataFrame:
     rows = symbols.withColumn("_g", group)
     size = F.exp(F.sum(F.log(F.size("alts").cast("double"))))
     parts = rows.groupBy("eds_id", "_g").agg(F.array_sort(F.collect_list(F.struct("pos", "alts"))).alias("parts"), size.alias("combinations"))
-    guard = F.when(F.col("combinations") > LARGEST, F.raise_error(F.lit("a merge would have too many alternatives")).cast("array<struct<pos:bigint,alts:array<struct<s:string,src:array<int>>>>>")).otherwise(F.col("parts"))
-    parts = parts.withColumn("parts", guard).withColumn("many", F.size("parts") > 1)
-    alts = fold_product(F.transform("parts", lambda p: p["alts"]), linear)
+    large = F.raise_error(F.lit("a merge would have too many alternatives"))
     if linear:
-        alts = F.when(F.col("many") & (F.size(alts) == 0), F.raise_error(F.lit("a merge results in an empty set")).cast("array<struct<s:string,src:array<int>>>")).otherwise(alts)
+        # shared paths filter at every step, so what counts is what each step leaves
+        step = lambda acc, x: F.when(F.size(acc) > LARGEST, large.cast(ALTS)).otherwise(product(acc, x["alts"], True))
+        rest = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
+        alts = F.aggregate(rest, F.col("parts")[0]["alts"].cast(ALTS), step)
+        empty = F.raise_error(F.lit("a merge results in an empty set")).cast(ALTS)
+        parts = parts.withColumn("_alts", alts)
+        alts = F.when((F.size("parts") > 1) & (F.size("_alts") == 0), empty).when(F.size("_alts") > LARGEST, large.cast(ALTS)).otherwise(F.col("_alts"))
+    else:
+        guard = F.when(F.col("combinations") > LARGEST, large.cast("array<struct<pos:bigint,alts:array<struct<s:string,src:array<int>>>>>")).otherwise(F.col("parts"))
+        alts = fold_product(F.transform(guard, lambda p: p["alts"]), linear)
     out = parts.select("eds_id", "_g", alts.alias("alts"))
     return out.select("eds_id", (F.row_number().over(Window.partitionBy("eds_id").orderBy("_g")) - 1).cast("long").alias("pos"), "alts")
 

@@ -68,6 +68,15 @@ def test_least_context(spark, text, least, out):
     assert leds.is_leds(found, least).first().is_leds
 
 
+def test_long_runs_of_few_paths(spark):
+    text, seds = "{GGGG}" + "{G}".join(["{A,C}"] * 23) + "{TTTT}", "{0}" + "{0}".join(["{1}{2,3}"] * 23) + "{0}"
+    found = leds.to_leds(symbols(spark, text, seds), 3, linear=True)
+    assert full(found) == "{GGGG}{" + "G".join("A" * 23) + "," + "G".join("C" * 23) + "}{TTTT}"
+    assert sources(found) == "{0}{1}{2,3}{0}"
+    with pytest.raises(Exception, match="too many"):
+        leds.to_leds(symbols(spark, text), 3).collect()
+
+
 @pytest.mark.parametrize("seds,pos,deg,pattern,status", [
     (None, 0, [], "ACG", "MATCH"), (None, 1, [], "CGT", "MATCH"), (None, 5, [2], "GTT", "MATCH"), (None, 5, [3], "GTT", "MATCH"), (None, 0, [0, 2], "ACGTACGTT", "MATCH"), (None, 0, [1, 2], "ACGTACACGTT", "MATCH"),
     (None, 0, [], "XYZ", "NO_MATCH"), (None, 4, [0], "ACG", "NO_MATCH"), (None, 100, [], "ACG", "NO_MATCH"), (None, 0, [], "ACGTX", "TOO_FEW_CHOICES"), (None, 4, [], "ACGTT", "TOO_FEW_CHOICES"), (None, 4, [0, 2], "ACGTT", "WRONG_SYMBOL"),
