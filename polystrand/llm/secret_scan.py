@@ -1,7 +1,8 @@
 """Secret scans: patterns propose candidates, a random forest removes false positives.
 
-DataFrame expressions only. A candidate is a key block or a run of 16 or more key
-characters with a digit in it. The forest sees its length, transitions between character
+DataFrame expressions only. A candidate is a key block of any length, with or without
+header lines, the value assigned after a secret word, whatever its characters (a quoted one
+as a whole), or a run of 16 or more key characters with a digit in it. The forest sees its length, transitions between character
 classes, dictionary coverage, path and the neighbouring words, and is trained from
 labelled findings: a table of the candidate with the text before and after it and a label.
 ``labelled_findings`` makes such a table by rule, for users without one.
@@ -19,15 +20,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = r"[A-Za-z0-9_+/=\-]"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-PATTERN = rf"{BLOCK}|(?<!{KEY})(?=[A-Za-z_+/=\-]{{0,400}}[0-9]){KEY}{{16,}}+"
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+SECRET_WORDS = r"(?:token|secret|passwor?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth|bearer|credential)"
+#: The places right after a secret word and = or :, within quotes or without; the first
+#: lookbehind is a cheap one.
+QUOTED = rf"(?<=[\"'])(?<=(?i:{SECRET_WORDS})[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"'])"
+BARE = rf"(?<=[:=]|[:=]\s)(?<=(?i:{SECRET_WORDS})[\"']?\s{{0,4}}[:=]\s?)"
+ASSIGNED = rf"{QUOTED}[^\"'\r\n]++(?=[\"'])|{BARE}[^\s\"']++"
+PATTERN = rf"{BLOCK}|{ASSIGNED}|(?<!{KEY})(?=[A-Za-z_+/=\-]{{0,400}}[0-9]){KEY}{{16,}}+"
 #: Characters looked at before and after a candidate.
 AROUND = 40
 MASK = "[SECRET]"
 SURE = 0.5
 #: Words of identifiers, placeholders and prose, as one alternation.
 DICTIONARY = "|".join(["password", "passwd", "token", "secret", "example", "sample", "dummy", "test", "your", "here", "change", "placeholder", "default", "value", "name", "user", "data", "file", "index", "page", "version", "build", "image", "content", "commit", "branch", "release", "number", "order", "invoice", "ticket", "session", "model", "table", "column", "function", "class", "method", "config", "setting", "server", "client", "service", "region", "email", "mail", "http", "https", "html", "json", "python", "java", "spark", "node", "main", "init", "article", "chapter", "section", "report", "draft", "final", "copy", "summary", "github", "docs", "null", "none", "true", "false"])
-SECRET_WORDS = r"(?:token|secret|passwor?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth|bearer|credential)"
 OTHER_WORDS = r"(?:commit|sha-?1|sha-?256|md5|hash|checksum|digest|uuid|guid|revision|version|build|order|invoice|tracking|isbn|etag|session id|serial|call|phone|card|account)"
 FAKE_WORDS = r"(?:example|sample|dummy|placeholder|fake|your[_ -]|xxxx|changeme|0123456789|1234567890|abcdef)"
 FEATURES = ["length", "transitions", "variety", "digits", "uppers", "hexadecimal", "coverage", "worded", "path", "prefix", "before_secret", "before_assign", "inside_assign", "before_other", "fake", "quoted"]
@@ -149,7 +155,10 @@ def mask_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFram
     # the longest first, so that a secret within another leaves no rest
     ordered = F.transform(F.sort_array(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
     rows = docs.join(found.select("_doc", ordered.alias("_secrets")), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
+    # a short value may be a common word: it goes only where it is assigned
+    literal = lambda s: F.concat(F.lit(f"(?:{QUOTED}|{BARE})\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?=[\"'\\s]|$)"))
+    masked = lambda t, s: F.when(F.length(s) < 16, F.regexp_replace(t, literal(s), F.lit(MASK))).otherwise(F.replace(t, s, F.lit(MASK)))
+    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate("_secrets", F.col("text"), masked))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -268,6 +268,24 @@ def test_secrets(spark, docs, none):
     assert secret_scan.mask_secrets(none).count() == 0 and secret_scan.mask_secrets(docs).count() == docs.count()
 
 
+def test_secrets_of_any_form(spark):
+    rnd = random.Random(6)
+    body = lambda n: "\n".join("".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(n))
+    block = lambda kind, n, head="": f"-----BEGIN {kind}-----\n{head}{body(n)}\n-----END {kind}-----"
+    blocks = [block("RSA PRIVATE KEY", 25), block("PRIVATE KEY", 400), block("RSA PRIVATE KEY", 25, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"), block("PGP PRIVATE KEY BLOCK", 30, "Version: GnuPG v2\n\n")]
+    lines = [(i, f"the key is\n{b}\nof it") for i, b in enumerate(blocks)]
+    values = ['password = "Xq!vR#pTz&wLk"', "api_key: 'aB3$kd'", 'token="qWkZrTnBvXmLpHjG"', "pwd=x7?Kq!m2"]
+    lines += [(10 + i, f"it has {v} of it") for i, v in enumerate(values)]
+    rows = spark.createDataFrame(lines, "doc_id long, text string")
+    near = {(r.doc_id, r.secret) for r in secret_scan.candidates(rows).collect()}
+    assert near >= set(enumerate(blocks)) | {(10, "Xq!vR#pTz&wLk"), (11, "aB3$kd"), (12, "qWkZrTnBvXmLpHjG"), (13, "x7?Kq!m2")}
+    found = secret_scan.find_secrets(rows).collect()
+    assert all(dict(lines)[r.doc_id][r.start : r.start + r.length] == r.secret for r in found)
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(rows).collect()}
+    assert [masked[i] for i in range(4)] == ["the key is\n[SECRET]\nof it"] * 4
+    assert [masked[10 + i] for i in range(4)] == [f"it has {v} of it" for v in ('password = "[SECRET]"', "api_key: '[SECRET]'", 'token="[SECRET]"', "pwd=[SECRET]")]
+
+
 def test_urls(spark):
     rnd, urls = random.Random(4), []
     for i in range(400):
