@@ -1,10 +1,12 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+"""Best-fit packing of token sequences, matched run by run in the driver.
 
 Lengths are whole numbers up to the capacity, so documents (and gaps) of one size are
 interchangeable and a range-sorted run of them is a count. Each round takes the longest
 lengths not yet placed and the smallest gaps that hold them (the successor in the sorted
 gaps), gives the k-th document of the run the k-th gap, and puts the gaps that remain
-back in order. The rounds see one row a length (at most ``capacity`` rows, however large
+back in order. The distributed successor sweeps of the method, with conflicts resolved by
+rank and gaps updated between sweeps, are replaced by this one sequential loop in the driver
+over the histogram of lengths; only ranks and places are distributed. The rounds see one row a length (at most ``capacity`` rows, however large
 the corpus); documents get their rank within their length by salted counts, and their
 place from the run that holds this rank.
 
