@@ -8,7 +8,10 @@ in a table of bounded size.
 
 Defined cases: null or empty text has no ids and decodes to the empty text; strings of
 added tokens in a text become their ids, as in the library; ids outside the vocabulary
-raise ``KeyError`` on decoding.
+raise ``KeyError`` on decoding; whole texts of any length are read, in slices of about
+``CHUNK`` bytes of several texts; equal ranks merge from the left; repeated rows and rows
+without a doc_id give a row each; other columns of any name take no part; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import small_batches, trimmed
 from .pieces import SLICE, PieceTable, buffers
 
 REMEMBERED = 400_000
@@ -313,19 +317,6 @@ def encoder(path: str) -> ForcedBoundaryBPE:
     return _ENCODERS[path]
 
 
-def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the ids of ``text`` as an array; the operator's general form."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, ids array<long>"
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        own = encoder(path)
-        for b in batches:
-            ids = list(own.encode_many(b.column(1)))
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64()))], names=[key, "ids"])
-
-    return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(rows, schema)
-
-
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document the number of its ids and digests of the ids and of the text that
     decoding them gives. Null text: as the empty text. Repeated rows: a row each."""
@@ -342,4 +333,5 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: trimmed(rows(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the
-    session has none (tests, one machine), a temporary folder is set once."""
+    session has none a temporary folder is set once, but on one machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = option.get() if option.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="polystrand-"))
     return named.rstrip("/")
 
@@ -35,12 +43,50 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of staged frames that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if hasattr(df, "staged_path"):
+            remove(df.sparkSession, df.staged_path)
+
+
+def quoted(name: str) -> str:
+    """A column name with any characters, as a reference to that column."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(f"{name}{k}" for k in itertools.count() if f"{name}{k}" not in taken)
+
+
+#: Rows and bytes of an Arrow batch where the session sets neither: texts can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session that has no bounds of its own."""
+    own = spark.conf.getAll
+    for key, value in BATCH.items():
+        if key not in own:
+            spark.conf.set(key, value)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The same batches; at the end of a task the worker gives free memory back."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,8 +8,11 @@ frequencies count every document that may be learned from; the classifier is fit
 at most about ``PER_LANGUAGE`` of them for each language, chosen by a hash of doc_id, of
 which every fifth sets the temperature.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; null
-languages are never learned; with nothing to learn from every prediction is ``und``.
+Defined cases: null and empty texts and texts without a letter are ``und`` with score 0; null
+languages are never learned; with nothing to learn from every prediction is ``und``; texts
+of any length are read whole; of equally likely languages the first by name is taken;
+repeated rows and rows without a doc_id are predicted each; other columns of any name take
+no part, and pass through the filter; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, small_batches, staged, trimmed
 
 FEATURES, ORDERS, PER_LANGUAGE = 1 << 15, 3, 500
 UNKNOWN = "und"
@@ -79,9 +82,10 @@ def gathered(docs: DataFrame, learnable) -> tuple[list[tuple[str, bytes, bytes]]
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not sizes:
         return [], np.zeros(FEATURES, dtype=np.int64), 0
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, PER_LANGUAGE / r["n"])) for r in sizes], "_lang string, _share double")
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, PER_LANGUAGE / r["n"])) for r in sizes], "known string, share double")
     place = F.pmod(F.xxhash64(F.lit(10), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("_lang")).select(F.col("lang").cast("string").alias("lang"), text.alias("text"), (place < F.col("_share")).alias("chosen"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), text.alias("text"), place.alias("place"))
+    chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("known")).select("lang", "text", (F.col("place") < F.col("share")).alias("chosen"))
 
     def parts(batches: Iterator[pa.RecordBatch]):
         df, documents = np.zeros(FEATURES, dtype=np.int64), 0
@@ -100,7 +104,8 @@ def gathered(docs: DataFrame, learnable) -> tuple[list[tuple[str, bytes, bytes]]
         n = np.append(df[slots[:-1]], documents)
         yield pa.record_batch([pa.nulls(len(slots), pa.string()), pa.nulls(len(slots), pa.binary()), pa.nulls(len(slots), pa.binary()), pa.array(slots, pa.int32()), pa.array(n, pa.int64())], names=["lang", "slots", "counts", "slot", "n"])
 
-    found = staged(chosen.mapInArrow(parts, "lang string, slots binary, counts binary, slot int, n long"), "ngrams")
+    small_batches(docs.sparkSession)
+    found = staged(chosen.mapInArrow(lambda batches: trimmed(parts(batches)), "lang string, slots binary, counts binary, slot int, n long"), "ngrams")
     sample = sorted(map(tuple, found.where("lang is not null").select("lang", "slots", "counts").collect()))
     sums = dict(map(tuple, found.where("slot is not null").groupBy("slot").agg(F.sum("n")).collect()))  # at most FEATURES rows
     discard(found)
@@ -183,7 +188,8 @@ def predict(docs: DataFrame, model: dict, *more: str) -> DataFrame:
 
     kept = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *more)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]] + ["lang_pred string", "score double"])
-    return kept.mapInArrow(rows, schema)
+    small_batches(docs.sparkSession)
+    return kept.mapInArrow(lambda batches: trimmed(rows(batches)), schema)
 
 
 def held_out() -> F.Column:
@@ -197,15 +203,29 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: dict, least_score: float = 0.3) -> DataFrame:
-    """The rows whose language is known with at least ``least_score``, unchanged."""
+def known_share(row: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> float:
+    """The share of a text's squared weight that is on n-grams the classifier has kept; it is
+    low for junk and for languages that nothing was learned of, however sure the softmax is."""
+    slots, x = row
+    return float(x * x @ weights[slots].any(1))
+
+
+def keep_identified(docs: DataFrame, model: dict, least_known: float = 0.2, least_margin: float = 0.05) -> DataFrame:
+    """The rows whose language is known, unchanged: with at least ``least_known`` of the text
+    in n-grams of the learned languages, and a probability of at least ``least_margin`` of
+    the way from chance to certainty."""
+    least_score = (chance := 1 / max(len(model["languages"]), 1)) + least_margin * (1 - chance)
+
+    def identified(text: str | None) -> bool:
+        found = ngram_counts(text) if model["languages"] else None
+        if found is None:
+            return False
+        row = tf_idf(found, model["idf"])
+        return known_share(row, model["weights"]) >= least_known and (chance == 1 or softmax(scores(row, model["weights"]) / model["temperature"]).max() >= least_score)
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            keep = []
-            for value in b.column(b.schema.get_field_index("text")):
-                found = ngram_counts(value.as_py()) if model["languages"] else None
-                keep.append(found is not None and softmax(scores(tf_idf(found, model["idf"]), model["weights"]) / model["temperature"]).max() >= least_score)
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array([identified(value.as_py()) for value in b.column(b.schema.get_field_index("text"))], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lambda batches: trimmed(rows(batches)), docs.schema)

@@ -1,18 +1,17 @@
-"""Near copies by exact similarity of word shingles: documents link where the Jaccard
-similarity of their shingle sets is at least ``like``, and no such link is missed.
-
-A 64-bit fingerprint can't do this: sets 0.8 alike differ in about 10 bits with a wide
-spread, and a radius that holds them all has no selective segments. Candidates come from
-prefixes instead: with shingles in one order for all documents, two sets of n and m shingles
-that are ``like`` alike share one of the first n - ceil(like n) + 1 and m - ceil(like m) + 1.
-The order puts shingles that are common in a sample last; it decides the cost only, never
-the result. Links are found in two passes: each document of a prefix shingle is held against
-three hubs of that shingle, then pairs of different components against each other. Every
-link is verified on the whole sets.
+"""Exact similarity of word shingles, for the near-duplicates of ``simhash``: shingle sets,
+their Jaccard similarity, and the candidates that fingerprints can't reach.
+
+A 64-bit fingerprint alone can't hold all pairs of a similarity: sets 0.8 alike differ in
+about 10 bits with a wide spread, and a radius that holds them all has no selective
+segments. So the pairs that fingerprints bring together are verified here, and the rest
+are found by prefixes: with shingles in one order for all documents, two sets of n and m
+shingles that are ``like`` alike share one of the first n - ceil(like n) + 1 and
+m - ceil(like m) + 1. The order puts shingles that are common in a sample last; it decides
+the cost only, never the result. Every link is verified on the whole sets.
 
 Defined cases: words are lower-cased runs without white space; texts of fewer than ``width``
 words are one shingle; null, empty and blank texts are copies of each other; rows without
-a doc_id take no part.
+a doc_id take no part; repeated rows are one node.
 """
 
 from __future__ import annotations
@@ -24,16 +23,18 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
-from .graph import components
+from .common import trimmed
 
 WIDTH, LIKE, SEED = 5, 0.8, 42
 #: Documents sampled for the order, copies there that make a shingle common, and common
 #: shingles that are remembered at most.
 SAMPLE, COMMON, REMEMBERED = 16_384, 3, 200_000
+#: Hashes whose bits are counted at once.
+CHUNK = 1 << 16
+LAST = pa.struct([("place", pa.int64()), ("s", pa.int64())])
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
@@ -49,12 +50,21 @@ def shingle_set(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
     return key, np.unique(np.array(hashes, dtype="<u8").view("<i8"))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of hashes: bits that over half of them have."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
     """Common shingles of a sample, the most common last."""
 
     def listed(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for t in b.column(1):
+            for t in b.column(2):
                 yield pa.record_batch([pa.array(shingle_set(t.as_py(), width)[1])], names=["s"])
 
     bound = int((1 << 30) * min(1.0, SAMPLE / max(rows.count(), 1)))
@@ -64,7 +74,9 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, width: int, like: float) -> DataFrame:
-    """doc_id, key, n (distinct shingles) and the prefix of each row."""
+    """doc_id, h, key, n (distinct shingles), fp (their fingerprint), the prefix, ``rest`` (the
+    shingles beyond it) and the prefix's ``last`` place in the order, of each row (doc_id, h,
+    text)."""
     common = common_shingles(rows, width)
     order = np.argsort(common)
     held = rows.sparkSession.sparkContext.broadcast((common[order], order + 1))
@@ -72,31 +84,38 @@ def prefixes(rows: DataFrame, width: int, like: float) -> DataFrame:
     def marked(batches: Iterator[pa.RecordBatch]):
         known, place = held.value
         for b in batches:
-            keys, sizes, firsts = [], [], []
-            for t in b.column(1):
+            keys, sizes, marks, firsts, places = [], [], [], [], []
+            for t in b.column(2):
                 key, s = shingle_set(t.as_py(), width)
+                marks.append(majority(s))
+                own = np.zeros(len(s), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, place[at], 0), kind="stable")]
+                    own = np.where(known[at] == s, place[at], 0)
+                    order = np.argsort(own, kind="stable")
+                    s, own = s[order], own[order]
                 keys.append(key)
                 sizes.append(len(s))
                 firsts.append(s[: len(s) - ceil(like * len(s) - 1e-9) + 1])
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "prefix"])
+                end = len(firsts[-1])
+                places.append({"place": int(own[end - 1]), "s": int(s[end - 1])} if end else None)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(places, LAST)], names=["doc_id", "h", "key", "n", "fp", "prefix", "last"])
 
-    return rows.mapInArrow(marked, "doc_id long, key long, n long, prefix array<long>")
+    found = rows.mapInArrow(lambda batches: trimmed(marked(batches)), "doc_id long, h long, key long, n long, fp long, prefix array<long>, last struct<place:long,s:long>")
+    return found.withColumn("rest", F.col("n") - F.size("prefix"))
 
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, key and the whole shingle set of each row."""
+    """doc_id, h, key and the whole shingle set of each row (doc_id, h, text)."""
 
     def marked(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
-                keys, sets = zip(*(shingle_set(t.as_py(), width) for t in part.column(1)), strict=True)
-                yield pa.record_batch([part.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "key", "set"])
+                keys, sets = zip(*(shingle_set(t.as_py(), width) for t in part.column(2)), strict=True)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "h", "key", "set"])
 
-    return rows.mapInArrow(marked, "doc_id long, key long, set array<long>")
+    return rows.mapInArrow(lambda batches: trimmed(marked(batches)), "doc_id long, h long, key long, set array<long>")
 
 
 def alike(n: Column, m: Column, like: float) -> Column:
@@ -104,61 +123,18 @@ def alike(n: Column, m: Column, like: float) -> Column:
     return F.least(n, m) / F.greatest(n, m) >= like
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, like: float) -> DataFrame:
+    """Of ``pairs`` (a, b, shared: how many shingles of both prefixes) those that can have the
+    similarity. Of the set whose prefix ends first, a shingle in the prefix that the other
+    set has too is in the other's prefix, so no more than ``shared`` and its rest are in both."""
+    of = lambda x: nodes.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rest", "last")))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("a_n"), F.col("b_n"), like))
+    most = F.col("shared") + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
+    return met.where(most >= like / (1 + like) * (F.col("a_n") + F.col("b_n")) - 1e-6).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets have the similarity."""
     one, other = (sets.select(F.col("key").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
     met = pairs.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("a_set", "b_set")))
     return met.where(F.col("both") / (F.size("a_set") + F.size("b_set") - F.col("both")) >= like).select("a", "b")
-
-
-def named(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` replaced by its root, where it has one."""
-    to = roots.select(F.col("node").alias(column), "root")
-    return rows.join(to, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
-
-
-def near_copies(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
-    """doc_id and component_id (the least doc_id that links reach) of each distinct text's
-    least doc_id."""
-    if not 0 < like <= 1:
-        raise ValueError("the similarity must be over 0 and at most 1")
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = staged(prefixes(rows, width, like), "prefixes")
-    nodes = staged(found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
-    entries = found.join(nodes.select("doc_id", "key"), ["doc_id", "key"]).select("key", F.explode("prefix").alias("s"))
-    bucket = Window.partitionBy("s")
-    hub = F.struct(F.xxhash64(F.lit(1), "key").alias("h"), "key")
-    hits = entries.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket)).where("lo <> hi")
-    hits = hits.withColumn("mid", F.min(hub).over(bucket)["key"]).join(nodes.select("key", "n"), "key")
-    hits = staged(hits, "hits")
-    wanted = nodes.join(hits.select("key").distinct(), "key").select("doc_id", "key")
-    sets = whole_sets(rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), width)
-    sets = staged(sets.join(wanted, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
-    spokes = hits.select("key", "n", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("to")).where("key <> to")
-    spokes = spokes.select(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).distinct()
-    size = nodes.select(F.col("key").alias("a"), F.col("n").alias("a_n")), nodes.select(F.col("key").alias("b"), F.col("n").alias("b_n"))
-    spokes = spokes.join(size[0], "a").join(size[1], "b").where(alike(F.col("a_n"), F.col("b_n"), like)).select("a", "b")
-    near = components(staged(verified(spokes, sets, like), "links"))
-    once = named(hits.select("s", "key", "n", F.col("key").alias("c")), near, "c")
-    once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "n", "c"), "once")
-    left, right = (once.select("s", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "c"))) for x in "ab")
-    across = left.join(right, "s").where((F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & alike(F.col("a_n"), F.col("b_n"), like))
-    across = across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
-    far = named(named(verified(across, sets, like), near, "a"), near, "b")
-    far = components(far)
-    roots = named(named(nodes.withColumn("c", F.col("key")), near, "c"), far, "c")
-    firsts = roots.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = staged(roots.join(firsts, "c").select("doc_id", "component_id"), "copies")
-    for frame in (found, nodes, hits, sets, once, near, far):
-        if hasattr(frame, "staged_path"):
-            discard(frame)
-    return out
-
-
-def keep_first(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
-    """One document of each group: the one with the least doc_id; rows that repeat its
-    doc_id count as the same document. Rows without a doc_id can't stand for a group and
-    all stay."""
-    kept = near_copies(docs, width, like).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))

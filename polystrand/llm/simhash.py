@@ -1,18 +1,24 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits; two link at ``RADIUS`` = 3 or fewer differing bits. Documents of
-one fingerprint are one node, so copies cost a row. Links are found in two passes:
-
-* every point at distance 1 or less from a fingerprint is enumerated, and fingerprints
-  that share a point (at most 65 do) are joined to the least of them: all links of 2 bits
-  or fewer, without pairs;
-* a link of 3 bits has at most one differing bit in one of the two 32-bit segments. Each
-  fingerprint probes both segment tables with the ball of radius 1 around its segment;
-  of a pair only the side with the bit set needs to probe, with that bit cleared. Table
-  matches of another component are fetched and their complete distance is verified.
+A fingerprint has 64 bits in two segments of 32; two link at ``RADIUS`` = 3 or fewer
+differing bits. Documents of one fingerprint are one node, so copies cost a row. A link of
+up to 3 bits has at most one differing bit in one of the segments, so both segment tables
+are probed with the ball of radius 1 around each segment:
+
+* matches whose other segment is equal need no verification. All fingerprints that meet at
+  such a point (at most 65 do) are joined to the least of them, without pairs, which makes
+  a group of near copies one component;
+* all other matches, of different components, are fetched and their complete distance is
+  verified. Of a pair only the side with the bit set needs to probe, with that bit
+  cleared. Whatever the first step has joined, this finds every link that is left.
+
+``near_duplicates`` is the digest of 3-word shingles; ``keep_first`` takes any width of shingle
+and a least similarity of the shingle sets, which verifies the links of fingerprints
+exactly and adds those that no fingerprint can reach (see ``shingles``).
 
 Defined cases: null, empty and blank texts have the fingerprint zero and link like any
-other; repeated rows share their fingerprint; an empty table gives no row.
+other; repeated rows share their fingerprint; texts of any length are read whole; other
+columns of any name take no part; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,12 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, free_name, small_batches, staged, trimmed
 from .graph import components
+from .shingles import LIKE, WIDTH, majority, possible, prefixes, verified, whole_sets
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Shingles whose bits are counted at once.
-CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -44,12 +49,7 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *ends[:-1]]
     width = min(SHINGLE, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -59,25 +59,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: trimmed(rows(batches)), "doc_id long, fp long")
 
 
-def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``nodes`` (fp, c) with c replaced by its root."""
-    to = roots.select(F.col("node").alias("c"), "root")
-    return nodes.join(to, "c", "left").select("fp", F.coalesce("root", "c").alias("c"))
+def named(rows: DataFrame, roots: DataFrame, column: str = "c") -> DataFrame:
+    """``rows`` with ``column`` replaced by its root, where it has one."""
+    to = roots.select(F.col("node").alias(column), "root")
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """Links of up to 2 bits: each fingerprint and the least one that shares a point."""
+    """Links of up to 2 bits: each fingerprint and the least one that shares a point, which is
+    a ball of radius 1 in one segment and the other segment as it is."""
     bits = [F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]
     points = nodes.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(b) for b in bits))).alias("point"))
     least = points.withColumn("least", F.min("fp").over(Window.partitionBy("point")))
     return least.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def far_links(nodes: DataFrame) -> DataFrame:
-    """Links of up to 3 bits between different components c, as pairs of components."""
+def far_matches(nodes: DataFrame) -> DataFrame:
+    """Links of up to 3 bits between fingerprints of different components: fp and c of one
+    (pfp, pc) and of the other."""
     mask = F.lit((1 << 32) - 1)
     segments = F.array(F.struct(F.lit(0).alias("s"), F.col("fp").bitwiseAND(mask).alias("v")), F.struct(F.lit(1).alias("s"), F.shiftrightunsigned("fp", 32).alias("v")))
     table = nodes.select("fp", "c", F.explode(segments).alias("at")).select("fp", "c", "at.s", "at.v")
@@ -87,8 +90,12 @@ def far_links(nodes: DataFrame) -> DataFrame:
     buckets = table.groupBy("s", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     # a probe goes on only if its bucket holds another component
     hits = probes.join(buckets, ["s", "v"]).where("lo <> pc or hi <> pc").select("s", "v", "pfp", "pc")
-    matched = hits.join(table, ["s", "v"]).where((F.col("c") != F.col("pc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= RADIUS))
-    return matched.select(F.col("pc").alias("a"), F.col("c").alias("b")).distinct()
+    return hits.join(table, ["s", "v"]).where((F.col("c") != F.col("pc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= RADIUS))
+
+
+def far_links(nodes: DataFrame) -> DataFrame:
+    """The same links as pairs of components."""
+    return far_matches(nodes).select(F.col("pc").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -102,16 +109,84 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = named(once, far).join(nodes, "fp")
     firsts = roots.groupBy("c").agg(F.min("first").alias("component_id"))
     classes = staged(roots.join(firsts, "c").select("fp", "component_id"), "classes")
-    for frame in (near, far, once, nodes):
-        if hasattr(frame, "staged_path"):
-            discard(frame)
+    discard(near, far, once, nodes)
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the least doc_id; rows that repeat its
-    doc_id count as the same document. Rows without a doc_id can't stand for a group and
-    all stay."""
-    classes = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(classes, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that fingerprints bring together: of ``nodes`` (key, fp) those with
+    one fingerprint, or linked ones. Each is to be verified."""
+    marks = staged(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "marks")
+    same = nodes.join(marks, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    near = staged(near_links(marks.select("fp")), "near")
+    roots = components(near)
+    far = far_matches(named(marks.select("fp", F.col("fp").alias("c")), roots)).select(F.col("pfp").alias("a"), F.col("fp").alias("b"))
+    rep = lambda x: marks.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_rep"))
+    linked = near.unionByName(far).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    out = staged(same.unionByName(linked).where("a <> b"), "pairs")
+    discard(marks, near, roots)
+    return out
+
+
+def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, like: float) -> tuple[DataFrame, DataFrame]:
+    """Of staged ``pairs`` (a, b) of keys those whose texts have the similarity, and the sets
+    that were read for it: of these texts alone."""
+    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = staged(nodes.join(asked, "key").select("doc_id", "h", "key"), "wanted")
+    sets = whole_sets(rows.join(wanted.select("doc_id", "h"), ["doc_id", "h"], "left_semi"), width)
+    # one doc_id may have a text twice
+    sets = staged(sets.join(wanted, ["doc_id", "h", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
+    links = staged(verified(pairs, sets, like), "links")
+    discard(pairs, wanted)
+    return links, sets
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
+    """doc_id and h (of the text, where one doc_id has several) of each distinct text's first
+    row, and those of the first row that its links reach, ``first``: texts link where their
+    shingle sets are ``like`` alike. First is the least doc_id, then the least h."""
+    if not 0 < like <= 1:
+        raise ValueError("the similarity must be over 0 and at most 1")
+    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = staged(prefixes(rows, width, like), "prefixes")
+    first = F.min(F.struct("doc_id", "h"))
+    once = (F.max(c).alias(c) for c in ("n", "fp", "rest", "last"))  # the same for all rows of a key
+    nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "rest", "last", "first.*"), "nodes")
+    close = close_pairs(nodes.select("key", "fp"))
+    # of the documents of one prefix shingle, each is held against three hubs
+    entries = found.join(nodes.select("doc_id", "h", "key"), ["doc_id", "h", "key"]).select("key", F.explode("prefix").alias("s"))
+    bucket = Window.partitionBy("s")
+    hub = F.struct(F.xxhash64(F.lit(1), "key").alias("h"), "key")
+    hits = entries.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket)).where("lo <> hi")
+    hits = staged(hits.withColumn("mid", F.min(hub).over(bucket)["key"]), "hits")
+    spokes = hits.select("key", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("to")).where("key <> to")
+    spokes = spokes.groupBy(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = possible(spokes, nodes, like).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links, sets = similar(staged(pairs.distinct(), "pairs"), rows, nodes, width, like)
+    near = components(links)
+    # then documents of different components against each other
+    once = named(hits.select("s", "key", F.col("key").alias("c")), near)
+    once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "c"), "once")
+    left, right = (once.select("s", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "c"))) for x in "ab")
+    across = left.join(right, "s").where((F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c")))
+    across = across.groupBy(F.col("a_key").alias("a"), F.col("b_key").alias("b")).agg(F.count("*").alias("shared"))
+    more, more_sets = similar(staged(possible(across, nodes, like), "pairs"), rows, nodes, width, like)
+    far = components(named(named(more, near, "a"), near, "b"))
+    roots = named(named(nodes.withColumn("c", F.col("key")), near), far)
+    firsts = roots.groupBy("c").agg(first.alias("first"))
+    out = staged(roots.join(firsts, "c").select("doc_id", "h", "first"), "copies")
+    discard(found, nodes, close, hits, sets, links, near, once, more, more_sets, far)
+    return out
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
+    """One row of each group of similar texts: the one with the least doc_id. Rows that
+    repeat its doc_id and text are the same document; a doc_id with several texts is a
+    document a text. Rows without a doc_id can't stand for a group and all stay."""
+    kept = similar_groups(docs, width, like).where(F.struct("doc_id", "h") == F.col("first")).select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
+    h = free_name(docs, "h")
+    rows = docs.where(docs["doc_id"].isNotNull()).withColumn(h, F.xxhash64(docs["text"].cast("string")))
+    rows = rows.join(kept, (rows["doc_id"].cast("long") == kept["kept_id"]) & (rows[h] == kept["kept_h"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", h]).drop(h).unionByName(docs.where(docs["doc_id"].isNull()))

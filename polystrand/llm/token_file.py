@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import CHUNK
-from .common import shuffle_partitions, staged
+from .common import shuffle_partitions, small_batches, staged, trimmed
 from .pieces import SLICE, PieceTable, buffers
 
 HEADER = struct.Struct("<4sIIII")
@@ -346,7 +346,8 @@ def write_tokens(docs: DataFrame, path: str, vocab: int, end_id: int) -> DataFra
     schema = "part int, block int, base long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(rows, schema), "tokens")
+    small_batches(docs.sparkSession)
+    return staged(ordered.mapInArrow(lambda batches: trimmed(rows(batches)), schema), "tokens")
 
 
 BLOCK_COLUMNS = ["part", "block", "base", "n_ids", "doc_ids", "lengths", "payload"]
