@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polystrand.llm import langid, packing, secret_scan, shingles
+from polystrand.llm import langid, packing, secret_scan, simhash
 from polystrand.llm.common import staged, table, tokenizer_path
 
 
@@ -21,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least doc_id. Documents link at a
-    similarity of 0.8 or more of their five-word shingles, verified; op3's digest is of
-    three words and 3 bits, which misses most of these links."""
-    return shingles.keep_first(docs, width=5, like=0.8)
+    similarity of 0.8 or more of their five-word shingles: links of SimHash fingerprints are
+    verified, and those that are too far apart for it are found by prefixes."""
+    return simhash.keep_first(docs, width=5, like=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
