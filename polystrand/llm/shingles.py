@@ -4,21 +4,31 @@ their Jaccard similarity, and the candidates that fingerprints can't reach.
 A 64-bit fingerprint alone can't hold all pairs of a similarity: sets 0.8 alike differ in
 about 10 bits with a wide spread, and a radius that holds them all has no selective
 segments. So the pairs that fingerprints bring together are verified here, and the rest
-are found by prefixes: with shingles in one order for all documents, two sets of n and m
-shingles that are ``like`` alike share one of the first n - ceil(like n) + 1 and
-m - ceil(like m) + 1. The order puts shingles that are common in a sample last; it decides
-the cost only, never the result. Every link is verified on the whole sets.
+are found by parts. Sets of n and m shingles that are ``like`` alike differ in no more than
+D = (1 - like) / (1 + like) * (n + m) shingles. Where the range of hashes is cut into more
+parts than that, most parts are equal in both, and of the parts that are not empty each
+set's first D + 1, in one order for all, hold one of these: so documents meet at the hash of
+a part's shingles. A part holds about four, so a passage that many documents share brings
+few of them together, and parts that many documents have come last in the order: all parts
+are filed, and a set drops those of over ``HEAVY`` documents if D + 1 others are left.
+Classes of sizes (each 1 / ``like`` times the one before) say how many parts there are; a
+document is filed at the level of its class, and at the next one if a partner can be there.
+Levels of small sets have a part a shingle, those that are common in a sample last, which
+decides the cost only. Pairs go whose sizes, or counts of shingles by the last bits of
+their hashes, differ too much; the rest is verified on the whole sets.
 
 Defined cases: words are lower-cased runs without white space; texts of fewer than ``width``
 words are one shingle; null, empty and blank texts are copies of each other; rows without
-a doc_id take no part; repeated rows are one node.
+a doc_id take no part; repeated rows are one node; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 from collections.abc import Iterator
 from itertools import accumulate
-from math import ceil
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +44,9 @@ WIDTH, LIKE, SEED = 5, 0.8, 42
 SAMPLE, COMMON, REMEMBERED = 16_384, 3, 200_000
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
-LAST = pa.struct([("place", pa.int64()), ("s", pa.int64())])
+#: Sets of levels up to this size have a part a shingle; counts by the last bits of hashes.
+SMALL, COUNTS, HEAVY = 96, 128, 32
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
@@ -73,36 +85,82 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
     return counts.orderBy(F.desc("count"), "s").limit(REMEMBERED).select("s").toArrow()["s"].to_numpy()[::-1]
 
 
-def prefixes(rows: DataFrame, width: int, like: float) -> DataFrame:
-    """doc_id, h, key, n (distinct shingles), fp (their fingerprint), the prefix, ``rest`` (the
-    shingles beyond it) and the prefix's ``last`` place in the order, of each row (doc_id, h,
-    text)."""
-    common = common_shingles(rows, width)
+def class_bounds(like: float) -> list[int]:
+    """The least size of each class: sizes of two classes that are not neighbours can't be
+    ``like`` alike."""
+    out, ratio = [1], min(like, 0.99)
+    while out[-1] < 1 << 40:
+        out.append(int(out[-1] / ratio + 1e-9) + 1)
+    return out
+
+
+@functools.cache
+def parts_of(most: int, share: float) -> int:
+    """As many parts as leave D + 12 of them with a shingle, for sets of ``most``."""
+    parts, differ = 2 * share * most + 12, 2 * share * most
+    while parts * (1 - exp(-most / parts)) < differ + 12:
+        parts *= 1.03
+    return ceil(parts)
+
+
+def filings(n: int, like: float, bounds: list[int]) -> Iterator[tuple[int, int, int]]:
+    """For a set of n: each level it is filed at, the level's number of parts (0: a part a
+    shingle), and how many parts of the set are to be filed."""
+    share, own = (1 - like) / (1 + like), bisect.bisect_right(bounds, n) - 1
+    for level in (own, own + 1):
+        most = bounds[level + 1] - 1
+        partner = min(most, int(n / like + 1e-9))
+        if partner >= bounds[level]:
+            parts = parts_of(most, share) if most > SMALL else 0
+            yield level, parts, int(share * (n + partner) + 1e-9) + 1
+
+
+def part_hashes(s: np.ndarray, like: float, bounds: list[int], place: np.ndarray, seed: int) -> tuple[list[np.ndarray], list[int]]:
+    """The hashes of a set's parts a level, and how many of these may be dropped; under 0 if
+    they are not enough. ``place``: of each shingle in the list of common ones, 0 if it is
+    not there."""
+    out, spare = [], []
+    mixed = (s.view(np.uint64) + np.uint64(int(MIX[0]) * seed % (1 << 64))) * MIX[1]
+    mixed ^= mixed >> np.uint64(29)
+    for level, parts, filed in filings(len(s), like, bounds) if len(s) else ():
+        if parts:
+            index = ((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(index, kind="stable")
+            found, starts = np.unique(index[order], return_index=True)
+            hashes = np.add.reduceat(mixed[order] * MIX[0], starts) ^ found
+        else:
+            hashes = mixed[np.lexsort((s, place))[:filed]]
+        hashes = (hashes + np.uint64(level)) * MIX[1]
+        out.append((hashes ^ (hashes >> np.uint64(31))).view(np.int64))
+        spare.append(len(hashes) - filed)
+    return out, spare
+
+
+def filed_parts(rows: DataFrame, width: int, like: float, seed: int = 0) -> DataFrame:
+    """doc_id, h, key, n (distinct shingles), fp (their fingerprint), ``counts`` of their last
+    bits, and ``parts`` and how many are ``spare`` at each level, of each row (doc_id, h, text)."""
+    common, bounds = common_shingles(rows, width), class_bounds(like)
     order = np.argsort(common)
     held = rows.sparkSession.sparkContext.broadcast((common[order], order + 1))
 
     def marked(batches: Iterator[pa.RecordBatch]):
-        known, place = held.value
+        known, places = held.value
         for b in batches:
-            keys, sizes, marks, firsts, places = [], [], [], [], []
+            out = ([], [], [], [], [], [])
             for t in b.column(2):
                 key, s = shingle_set(t.as_py(), width)
-                marks.append(majority(s))
-                own = np.zeros(len(s), dtype=np.int64)
-                if len(known):
+                place = np.zeros(len(s), dtype=np.int64)
+                if len(known) and len(s) <= 2 * SMALL / like:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    own = np.where(known[at] == s, place[at], 0)
-                    order = np.argsort(own, kind="stable")
-                    s, own = s[order], own[order]
-                keys.append(key)
-                sizes.append(len(s))
-                firsts.append(s[: len(s) - ceil(like * len(s) - 1e-9) + 1])
-                end = len(firsts[-1])
-                places.append({"place": int(own[end - 1]), "s": int(s[end - 1])} if end else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(places, LAST)], names=["doc_id", "h", "key", "n", "fp", "prefix", "last"])
+                    place = np.where(known[at] == s, places[at], 0)
+                parts, spare = part_hashes(s, like, bounds, place, seed)
+                counts = np.minimum(np.bincount(s & (COUNTS - 1), minlength=COUNTS), 127).astype(np.int8)
+                for column, x in zip(out, (key, len(s), majority(s), counts, parts, spare), strict=True):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()))
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "h", "key", "n", "fp", "counts", "parts", "spare"])
 
-    found = rows.mapInArrow(lambda batches: trimmed(marked(batches)), "doc_id long, h long, key long, n long, fp long, prefix array<long>, last struct<place:long,s:long>")
-    return found.withColumn("rest", F.col("n") - F.size("prefix"))
+    return rows.mapInArrow(lambda batches: trimmed(marked(batches)), "doc_id long, h long, key long, n long, fp long, counts array<tinyint>, parts array<array<long>>, spare array<int>")
 
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -123,14 +181,17 @@ def alike(n: Column, m: Column, like: float) -> Column:
     return F.least(n, m) / F.greatest(n, m) >= like
 
 
+def counted_alike(like: float) -> Column:
+    """Whether sets a and b of these sizes and counts can have the similarity: they differ in
+    at least as many shingles as their counts do."""
+    gap = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda n, x: n + x)
+    return alike(F.col("a_n"), F.col("b_n"), like) & (gap <= (1 - like) / (1 + like) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, like: float) -> DataFrame:
-    """Of ``pairs`` (a, b, shared: how many shingles of both prefixes) those that can have the
-    similarity. Of the set whose prefix ends first, a shingle in the prefix that the other
-    set has too is in the other's prefix, so no more than ``shared`` and its rest are in both."""
-    of = lambda x: nodes.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rest", "last")))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("a_n"), F.col("b_n"), like))
-    most = F.col("shared") + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
-    return met.where(most >= like / (1 + like) * (F.col("a_n") + F.col("b_n")) - 1e-6).select("a", "b")
+    """Of ``pairs`` (a, b) those that can have the similarity."""
+    of = lambda x: nodes.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "counts")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(counted_alike(like)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:

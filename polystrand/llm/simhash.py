@@ -23,6 +23,7 @@ columns of any name take no part; an empty table gives no row.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_name, small_batches, staged, trimmed
 from .graph import components
-from .shingles import LIKE, WIDTH, majority, possible, prefixes, verified, whole_sets
+from .shingles import HEAVY, LIKE, WIDTH, counted_alike, filed_parts, majority, possible, verified, whole_sets
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Rows of two numbers that are sent to all executors at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -133,7 +136,10 @@ def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, lik
     that were read for it: of these texts alone."""
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = staged(nodes.join(asked, "key").select("doc_id", "h", "key"), "wanted")
-    sets = whole_sets(rows.join(wanted.select("doc_id", "h"), ["doc_id", "h"], "left_semi"), width)
+    few = wanted.select("doc_id", "h")
+    # few documents are asked for: so texts move only if there are many
+    few = F.broadcast(few) if wanted.count() <= BROADCAST_ROWS else few
+    sets = whole_sets(rows.join(few, ["doc_id", "h"], "left_semi"), width)
     # one doc_id may have a text twice
     sets = staged(sets.join(wanted, ["doc_id", "h", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
     links = staged(verified(pairs, sets, like), "links")
@@ -145,39 +151,53 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     """doc_id and h (of the text, where one doc_id has several) of each distinct text's first
     row, and those of the first row that its links reach, ``first``: texts link where their
     shingle sets are ``like`` alike. First is the least doc_id, then the least h."""
-    if not 0 < like <= 1:
-        raise ValueError("the similarity must be over 0 and at most 1")
+    if not 0.75 <= like <= 1:
+        raise ValueError("the similarity must be 0.75 to 1")
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    found = staged(prefixes(rows, width, like), "prefixes")
+    for seed in itertools.count():
+        found = staged(filed_parts(rows, width, like, seed), "parts")
+        if not found.where(F.exists("spare", lambda x: x < 0)).limit(1).count():
+            break
+        discard(found)  # by bad luck a document has too few parts that are not empty: others
     first = F.min(F.struct("doc_id", "h"))
-    once = (F.max(c).alias(c) for c in ("n", "fp", "rest", "last"))  # the same for all rows of a key
-    nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "rest", "last", "first.*"), "nodes")
+    once = (F.max(c).alias(c) for c in ("n", "fp", "counts"))  # the same for all rows of a key
+    nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "counts", "first.*"), "nodes")
     close = close_pairs(nodes.select("key", "fp"))
-    # of the documents of one prefix shingle, each is held against three hubs
-    entries = found.join(nodes.select("doc_id", "h", "key"), ["doc_id", "h", "key"]).select("key", F.explode("prefix").alias("s"))
+    # of the documents that meet at a part, each is held against three hubs
+    entries = found.join(nodes.select("doc_id", "h", "key"), ["doc_id", "h", "key"]).select("key", F.posexplode(F.arrays_zip("parts", "spare")).alias("level", "x"))
+    entries = entries.select("key", F.explode("x.parts").alias("s"), (2 * F.col("x.spare") + F.col("level")).alias("spare"))
     bucket = Window.partitionBy("s")
     hub = F.struct(F.xxhash64(F.lit(1), "key").alias("h"), "key")
-    hits = entries.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket)).where("lo <> hi")
-    hits = staged(hits.withColumn("mid", F.min(hub).over(bucket)["key"]), "hits")
+    every = entries.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket)).where("lo <> hi")
+    every = staged(every.withColumn("mid", F.min(hub).over(bucket)["key"]).withColumn("heavy", F.count("*").over(bucket) > HEAVY), "hits")
+    # parts that very many have go where enough others are left
+    excess = every.where("heavy").groupBy("key", "spare").agg(F.count("*").alias("c")).where("c <= spare div 2").select("key", "spare")
+    hits = every.where("not heavy").unionByName(every.where("heavy").join(excess, ["key", "spare"], "left_anti"))
     spokes = hits.select("key", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("to")).where("key <> to")
-    spokes = spokes.groupBy(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).agg(F.count("*").alias("shared"))
-    pairs = possible(spokes, nodes, like).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    links, sets = similar(staged(pairs.distinct(), "pairs"), rows, nodes, width, like)
+    pairs = spokes.select(F.col("key").alias("a"), F.col("to").alias("b")).unionByName(close)
+    pairs = possible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, like)
+    links, sets = similar(staged(pairs, "pairs"), rows, nodes, width, like)
     near = components(links)
     # then documents of different components against each other
-    once = named(hits.select("s", "key", F.col("key").alias("c")), near)
-    once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "c"), "once")
-    left, right = (once.select("s", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "c"))) for x in "ab")
-    across = left.join(right, "s").where((F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c")))
-    across = across.groupBy(F.col("a_key").alias("a"), F.col("b_key").alias("b")).agg(F.count("*").alias("shared"))
-    more, more_sets = similar(staged(possible(across, nodes, like), "pairs"), rows, nodes, width, like)
+    once = named(hits.select("s", "key", "heavy", F.col("key").alias("c")), near)
+    once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "c", "heavy"), "once")
+    side = lambda rows, x: rows.select("s", *(F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "s"))
+    other = (F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c"))
+    light = once.where("not heavy").select("s", "key", "c")
+    across = side(light, "a").join(side(light, "b"), "s").where(other)
+    across = possible(across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), nodes, like)
+    # where many meet, sizes and counts are compared as they meet
+    full = once.where("heavy").select("s", "key", "c").join(nodes.select("key", "n", "counts"), "key")
+    crowd = side(full, "a").join(side(full, "b"), "s").where(other & counted_alike(like))
+    across = across.unionByName(crowd.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))).distinct()
+    more, more_sets = similar(staged(across, "pairs"), rows, nodes, width, like)
     far = components(named(named(more, near, "a"), near, "b"))
     roots = named(named(nodes.withColumn("c", F.col("key")), near), far)
     firsts = roots.groupBy("c").agg(first.alias("first"))
     out = staged(roots.join(firsts, "c").select("doc_id", "h", "first"), "copies")
-    discard(found, nodes, close, hits, sets, links, near, once, more, more_sets, far)
+    discard(found, nodes, close, every, sets, links, near, once, more, more_sets, far)
     return out
 
 

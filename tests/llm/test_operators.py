@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from polystrand.llm import ann, bpe, e8, graph, langid, packing, secret_scan, sharding, simhash, token_file, url_rules
+from polystrand.llm import ann, bpe, e8, graph, langid, packing, secret_scan, sharding, shingles, simhash, token_file, url_rules
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 VOICES = {"en": "the of and thing with that ringer over", "fr": "le la des et queue eau était où", "de": "der die das und über mich schön"}
@@ -191,10 +191,10 @@ def near_texts():
     rnd, out = random.Random(12), []
     words = [f"w{k}" for k in range(3000)]
     for _ in range(12):
-        base = rnd.choices(words, k=rnd.randrange(30, 200))
+        base = rnd.choices(words, k=rnd.randrange(30, 600))
         for _ in range(8):
             own = list(rnd.choice([base, out[-1].split() if out else base]))
-            for _ in range(rnd.randrange(0, 4)):
+            for _ in range(rnd.randrange(0, 4 + len(own) // 50)):
                 own[rnd.randrange(len(own))] = rnd.choice(words)
             out.append(" ".join(own))
     line = " ".join(rnd.choices(words, k=12))
@@ -217,9 +217,9 @@ def brute_kept(found, width=5, like=0.8):
 def test_near_copies(spark, docs, none):
     found = list(enumerate(near_texts()))
     rows = spark.createDataFrame(found, "doc_id long, text string")
-    kept = sorted(r.doc_id for r in simhash.keep_first(rows).collect())
+    stay = simhash.keep_first(rows).collect()
+    kept = sorted(r.doc_id for r in stay)
     assert kept == brute_kept(found) and 40 < len(kept) < len(found) - 20
-    assert sorted(r.doc_id for r in simhash.keep_first(rows, 3, 0.6).collect()) == brute_kept(found, 3, 0.6)
     odd = [(i, x) for i, x, _ in texts() if i is not None]
     assert sorted(str(r.doc_id) for r in simhash.keep_first(docs).collect()) == sorted([*map(str, brute_kept(odd)), "None"])
     assert simhash.keep_first(none).count() == 0
@@ -234,6 +234,25 @@ def test_near_copies(spark, docs, none):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == brute_kept(found)
 
 
+@pytest.mark.parametrize("like", [0.8, 0.75, 0.95, 1.0])
+def test_sets_alike_meet_at_a_part(like):
+    """Sets at the very least similarity, of all sizes, share a filed part."""
+    rng, bounds = np.random.default_rng(int(100 * like)), shingles.class_bounds(like)
+    for _ in range(600):
+        n = int(rng.choice([rng.integers(1, 30), rng.integers(30, 400), rng.integers(400, 3000)]))
+        both = rng.integers(-(1 << 63), 1 << 63, n)
+        extra = int((1 / like - 1) * n + 1e-9)  # differing shingles of the two sets together
+        mine = int(rng.integers(0, extra + 1))
+        rest = rng.integers(-(1 << 63), 1 << 63, extra)
+        a, b = np.unique(np.concatenate([both, rest[:mine]])), np.unique(np.concatenate([both, rest[mine:]]))
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= like
+        (x, spare), (y, more) = (shingles.part_hashes(s, like, bounds, np.zeros(len(s), dtype=np.int64), 0) for s in (a, b))
+        assert min(spare + more) >= 0
+        # also if each drops what it may, by one order
+        drop = lambda parts, spare: np.concatenate([np.sort(p)[k:] for p, k in zip(parts, spare, strict=True)])
+        assert np.intersect1d(drop(x, spare), drop(y, more)).size, (len(a), len(b))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 60)] + [(400, 400), (500, 501), (501, 502), (502, 500)]
     rows = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
