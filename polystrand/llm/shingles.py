@@ -138,7 +138,7 @@ def part_hashes(s: np.ndarray, like: float, bounds: list[int], place: np.ndarray
 
 def filed_parts(rows: DataFrame, width: int, like: float, seed: int = 0) -> DataFrame:
     """doc_id, h, key, n (distinct shingles), fp (their fingerprint), ``counts`` of their last
-    bits, and ``parts`` and how many are ``spare`` at each level, of each row (doc_id, h, text)."""
+    bits and which of these are odd, and ``parts`` and how many are ``spare`` at each level, of each row (doc_id, h, text)."""
     common, bounds = common_shingles(rows, width), class_bounds(like)
     order = np.argsort(common)
     held = rows.sparkSession.sparkContext.broadcast((common[order], order + 1))
@@ -146,7 +146,7 @@ def filed_parts(rows: DataFrame, width: int, like: float, seed: int = 0) -> Data
     def marked(batches: Iterator[pa.RecordBatch]):
         known, places = held.value
         for b in batches:
-            out = ([], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [], [])
             for t in b.column(2):
                 key, s = shingle_set(t.as_py(), width)
                 place = np.zeros(len(s), dtype=np.int64)
@@ -155,12 +155,13 @@ def filed_parts(rows: DataFrame, width: int, like: float, seed: int = 0) -> Data
                     place = np.where(known[at] == s, places[at], 0)
                 parts, spare = part_hashes(s, like, bounds, place, seed)
                 counts = np.minimum(np.bincount(s & (COUNTS - 1), minlength=COUNTS), 127).astype(np.int8)
-                for column, x in zip(out, (key, len(s), majority(s), counts, parts, spare), strict=True):
+                odd = np.packbits(counts & 1, bitorder="little").view("<i8").tolist()
+                for column, x in zip(out, (key, len(s), majority(s), counts, *odd, parts, spare), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()))
-            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "h", "key", "n", "fp", "counts", "parts", "spare"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()))
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "h", "key", "n", "fp", "counts", "odd0", "odd1", "parts", "spare"])
 
-    return rows.mapInArrow(lambda batches: trimmed(marked(batches)), "doc_id long, h long, key long, n long, fp long, counts array<tinyint>, parts array<array<long>>, spare array<int>")
+    return rows.mapInArrow(lambda batches: trimmed(marked(batches)), "doc_id long, h long, key long, n long, fp long, counts array<tinyint>, odd0 long, odd1 long, parts array<array<long>>, spare array<int>")
 
 
 def whole_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -181,17 +182,25 @@ def alike(n: Column, m: Column, like: float) -> Column:
     return F.least(n, m) / F.greatest(n, m) >= like
 
 
-def counted_alike(like: float) -> Column:
-    """Whether sets a and b of these sizes and counts can have the similarity: they differ in
-    at least as many shingles as their counts do."""
-    gap = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda n, x: n + x)
-    return alike(F.col("a_n"), F.col("b_n"), like) & (gap <= (1 - like) / (1 + like) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+def differ(like: float) -> Column:
+    """The shingles in which sets a and b can differ at most."""
+    return (1 - like) / (1 + like) * (F.col("a_n") + F.col("b_n")) + 1e-6
+
+
+def parity_alike(like: float) -> Column:
+    """Whether sets a and b of these sizes and parities of counts can have the similarity:
+    they differ in a shingle at least for each count that is odd in one of them alone."""
+    odd = F.bit_count(F.col("a_odd0").bitwiseXOR(F.col("b_odd0"))) + F.bit_count(F.col("a_odd1").bitwiseXOR(F.col("b_odd1")))
+    return alike(F.col("a_n"), F.col("b_n"), like) & (odd <= differ(like))
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, like: float) -> DataFrame:
-    """Of ``pairs`` (a, b) those that can have the similarity."""
+    """Of ``pairs`` (a, b) those that can have the similarity: sets differ in at least as many
+    shingles as their counts do."""
     of = lambda x: nodes.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "counts")))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(counted_alike(like)).select("a", "b")
+    met = pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("a_n"), F.col("b_n"), like))
+    gap = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda n, x: n + x)
+    return met.where(gap <= differ(like)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:

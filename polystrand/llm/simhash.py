@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_name, small_batches, staged, trimmed
 from .graph import components
-from .shingles import HEAVY, LIKE, WIDTH, counted_alike, filed_parts, majority, possible, verified, whole_sets
+from .shingles import HEAVY, LIKE, WIDTH, filed_parts, majority, parity_alike, possible, verified, whole_sets
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Rows of two numbers that are sent to all executors at most.
@@ -162,8 +162,8 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
             break
         discard(found)  # by bad luck a document has too few parts that are not empty: others
     first = F.min(F.struct("doc_id", "h"))
-    once = (F.max(c).alias(c) for c in ("n", "fp", "counts"))  # the same for all rows of a key
-    nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "counts", "first.*"), "nodes")
+    once = (F.max(c).alias(c) for c in ("n", "fp", "counts", "odd0", "odd1"))  # the same for all rows of a key
+    nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "counts", "odd0", "odd1", "first.*"), "nodes")
     close = close_pairs(nodes.select("key", "fp"))
     # of the documents that meet at a part, each is held against three hubs
     entries = found.join(nodes.select("doc_id", "h", "key"), ["doc_id", "h", "key"]).select("key", F.posexplode(F.arrays_zip("parts", "spare")).alias("level", "x"))
@@ -187,11 +187,11 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     other = (F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c"))
     light = once.where("not heavy").select("s", "key", "c")
     across = side(light, "a").join(side(light, "b"), "s").where(other)
-    across = possible(across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), nodes, like)
-    # where many meet, sizes and counts are compared as they meet
-    full = once.where("heavy").select("s", "key", "c").join(nodes.select("key", "n", "counts"), "key")
-    crowd = side(full, "a").join(side(full, "b"), "s").where(other & counted_alike(like))
-    across = across.unionByName(crowd.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))).distinct()
+    # where many meet, sizes and parities are compared as they meet
+    full = once.where("heavy").select("s", "key", "c").join(nodes.select("key", "n", "odd0", "odd1"), "key")
+    crowd = side(full, "a").join(side(full, "b"), "s").where(other & parity_alike(like))
+    across = across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).unionByName(crowd.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+    across = possible(across.distinct(), nodes, like)
     more, more_sets = similar(staged(across, "pairs"), rows, nodes, width, like)
     far = components(named(named(more, near, "a"), near, "b"))
     roots = named(named(nodes.withColumn("c", F.col("key")), near), far)
