@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import generate, leds, msa, vcf
+from .operators import generate, leds, msa, report, vcf
 from .operators import index as ix
 from .sources import eds
 
@@ -31,6 +31,11 @@ def read(spark: SparkSession, path: str, sources: str | None) -> DataFrame:
     return eds.parse(texts)
 
 
+def random_symbols(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    number = a.number if a.variability is None else round(a.variability * a.length)
+    return generate.random_eds(spark, "input", a.length, number, a.max_alternatives, a.snp_ratio, a.min_context, a.alphabet, a.seed, a.min_alternatives, a.variant_length_max)
+
+
 def expect(path: str, suffix: str) -> str:
     if not path.endswith(suffix):
         raise SystemExit(f"the input must be a {suffix} file")
@@ -52,20 +57,38 @@ def main(argv: list[str] | None = None) -> None:
         t.add_argument("--seed", type=int, default=1)
         if name == "vcf2eds":
             t.add_argument("-r", "--reference", required=True)
+        if name == "stats":
+            t.add_argument("-j", "--json", action="store_true")
+            t.add_argument("-v", "--verbose", action="store_true")
+            t.add_argument("-f", "--full-mode", action="store_true", help="report the memory of all strings, not of the index")
+            t.add_argument("-p", "--print", action="store_true", help="print the symbols")
+        if name == "random":
+            t.add_argument("--max-alternatives", type=int, default=3)
+            t.add_argument("--min-alternatives", type=int, default=2)
+            t.add_argument("--variant-length-max", type=int, default=1)
+            t.add_argument("--snp-ratio", type=float, default=0.7)
+            t.add_argument("--variability", type=float, help="share of places that vary, in place of -n")
+            t.add_argument("--min-context", type=int, default=0)
+            t.add_argument("--alphabet", default="ACGT")
     a = top.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.tool == "stats":
         symbols = read(spark, a.input, a.sources)
-        print(ix.eds_statistics(symbols).select(F.to_json(F.struct("*"))).first()[0])
-        if a.sources:
-            print(ix.source_statistics(symbols).select(F.to_json(F.struct("*"))).first()[0])
+        if a.json:
+            files = spark.createDataFrame([("input", a.input, Path(a.input).stat().st_size)], "eds_id string, path string, size_bytes long")
+            print(report.stats_json(symbols, files, index_only=not a.full_mode).first()["json"])
+        else:
+            print(report.stats_text(symbols, a.verbose, index_only=not a.full_mode).first()["text"])
+        if a.print:
+            for row in report.symbol_lines(symbols).orderBy("pos").toLocalIterator():
+                print(row["line"])
         return
     if a.tool == "patterns":
         found = generate.generate_patterns(ix.index(read(spark, a.input, a.sources)), a.number, a.length, a.seed)
         found.orderBy("pattern_id").select("pattern").write.text(a.output or "patterns")
         return
     if a.tool == "random":
-        written(generate.random_eds(spark, "input", a.length, a.number, seed=a.seed), a.output or "random.eds", a.sources, False)
+        written(random_symbols(spark, a), a.output or "random.eds", a.sources, False)
         return
     stem = Path(a.input).with_suffix("")
     if a.tool == "msa2eds":

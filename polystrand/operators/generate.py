@@ -18,13 +18,14 @@ def uniform(*key) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def random_eds(spark: SparkSession, eds_id: str, length: int, variants: int, max_alts: int = 3, snp_ratio: float = 0.7, min_context: int = 0, alphabet: str = "ACGT", seed: int = 1) -> DataFrame:
+def random_eds(spark: SparkSession, eds_id: str, length: int, variants: int, max_alts: int = 3, snp_ratio: float = 0.7, min_context: int = 0, alphabet: str = "ACGT", seed: int = 1, min_alts: int = 2, longest: int = 1) -> DataFrame:
     """Symbols of a random string over a base sequence of ``length``: ``variants`` places,
     drawn without return, or one in each of as many equal segments if ``min_context`` is
     given, become degenerate. Alternative 0 is the base letter; another is a different
-    letter with ``snp_ratio``, else an insertion or nothing. Path ids start at 1, each
+    letter with ``snp_ratio``, else an insertion of 1 to ``longest`` letters or nothing. There
+    are ``min_alts`` to ``max_alts`` of them. Path ids start at 1, each
     alternative has a path, and common symbols have the universal source."""
-    if not 0 <= variants <= length or max_alts < 2 or len(alphabet) < max_alts:
+    if not 0 <= variants <= length or not 2 <= min_alts <= max_alts or longest < 1 or len(alphabet) < max_alts:
         raise ValueError("sizes do not fit")
     paths, s = max(max_alts, 3), F.lit(seed)
     letters = F.array(*map(F.lit, alphabet))
@@ -36,11 +37,13 @@ def random_eds(spark: SparkSession, eds_id: str, length: int, variants: int, max
         places = spark.range(variants).select((F.col("id") * step + drawn(F.lit(room), s, F.lit("place"), "id")).alias("at"))
     else:
         places = spark.range(length).select(F.col("id").alias("at")).orderBy(F.xxhash64(s, F.lit("place"), "id"), "at").limit(variants)
-    number = 2 + drawn(F.lit(max_alts - 1), s, F.lit("alts"), "at")
+    number = min_alts + drawn(F.lit(max_alts - min_alts + 1), s, F.lit("alts"), "at")
     rows = places.withColumn("k", number)
     kind = lambda j: uniform(s, F.lit("kind"), "at", j)
     other = lambda j: letter(F.pmod(base(F.col("at")) + j, F.lit(len(alphabet))))
-    text = lambda j: F.when(j == 0, letter(base(F.col("at")))).when(kind(j) < snp_ratio, other(j)).when(kind(j) < (1 + snp_ratio) / 2, F.concat(letter(base(F.col("at"))), other(j))).otherwise("")
+    more = lambda j: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda i: F.when(i <= drawn(F.lit(longest), s, F.lit("long"), "at", j), letter(drawn(F.lit(len(alphabet)), s, F.lit("more"), "at", j, i))).otherwise(""))
+    inserted = lambda j: F.concat(other(j), F.array_join(more(j), "")) if longest > 1 else other(j)
+    text = lambda j: F.when(j == 0, letter(base(F.col("at")))).when(kind(j) < snp_ratio, other(j)).when(kind(j) < (1 + snp_ratio) / 2, F.concat(letter(base(F.col("at"))), inserted(j))).otherwise("")
     # the first paths take one alternative each, the others draw
     taken = lambda p: F.when(p <= F.col("k"), p - 1).otherwise(drawn(F.col("k"), s, F.lit("path"), "at", p))
     sources = lambda j: F.filter(F.sequence(F.lit(1), F.lit(paths)), lambda p: taken(p) == j)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Symbols of one EDS that one task orders; longer ones are summed in two levels.
 BUCKET = 1 << 16
+#: Symbols of one bucket of the range join.
+SPAN = 4096
 
 
 def prefix_sums(rows: DataFrame, **sums: Column) -> DataFrame:
@@ -75,7 +77,10 @@ def extract(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     range of symbols, clipped to the end."""
     n = symbols.groupBy("eds_id").agg(F.count("*").alias("n"))
     asked = queries.withColumnRenamed("pos", "p0").join(n, "eds_id").withColumn("count", F.greatest(F.least(F.col("n") - F.col("p0"), F.col("len")), F.lit(0)))
-    hits = asked.select("eds_id", "qid", "p0", "count", "changes").join(symbols, "eds_id").where("pos >= p0 and pos < p0 + count")
+    spans = F.sequence(F.floor(F.col("p0") / SPAN), F.floor((F.col("p0") + F.col("count") - 1) / SPAN))
+    held = symbols.withColumn("_bucket", F.floor(F.col("pos") / SPAN))
+    hits = asked.select("eds_id", "qid", "p0", "count", "changes").where("count > 0").withColumn("_bucket", F.explode(spans))
+    hits = hits.join(held, ["eds_id", "_bucket"]).where("pos >= p0 and pos < p0 + count")
     choice = F.get("changes", (F.col("pos") - F.col("p0")).cast("int"))
     s = F.when((choice < 0) | (choice >= F.size("alts")), F.lit(None)).otherwise(F.get("alts", choice)["s"])
     parts = F.array_sort(F.collect_list(F.struct("pos", s.alias("s"))))

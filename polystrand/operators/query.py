@@ -35,8 +35,11 @@ def walk(index: DataFrame, queries: DataFrame) -> DataFrame:
     paths that all chosen strings share (null without sources)."""
     total = index.groupBy("eds_id").agg(F.max(F.col("cum_deg") + F.when(F.col("is_deg"), F.col("size")).otherwise(0)).alias("total"))
     asked = locate(index, queries).join(total, "eds_id", "left")
-    ahead = index.select("eds_id", "pos", "size", "alts", "cum_deg", "cum_common")
-    on = asked.where("start is not null and pattern <> ''").join(ahead, "eds_id").where("pos >= start and cum_common < common_pos + length(pattern)")
+    # common characters do not decrease along a string, so a walk's symbols are in few buckets
+    ahead = index.select("eds_id", "pos", "size", "alts", "cum_deg", "cum_common", F.floor(F.col("cum_common") / SPAN).alias("_bucket"))
+    spans = F.sequence(F.floor((F.col("common_pos") - F.col("offset")) / SPAN), F.floor((F.col("common_pos") + F.length("pattern") - 1) / SPAN))
+    on = asked.where("start is not null and pattern <> ''").withColumn("_bucket", F.explode(spans))
+    on = on.join(ahead, ["eds_id", "_bucket"]).where("pos >= start and cum_common < common_pos + length(pattern)")
     symbols = F.array_sort(F.collect_list(F.struct("pos", "size", "alts", "cum_deg")))
     seen = on.groupBy("eds_id", "qid").agg(symbols.alias("symbols"))
     rows = asked.join(seen, ["eds_id", "qid"], "left")

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import ALTS
+from ..session import cut
+
+#: Positions of one stretch of variants.
+STRETCH = 1 << 16
 
 
 def parse_fasta(texts: DataFrame) -> DataFrame:
     """(vcf_id, name, seq) of (vcf_id, text): the first record."""
     record = F.split("text", "(?:^|\n)>")
     body = F.when(F.trim(record[0]) == "", F.get(record, F.lit(1))).otherwise(record[0])
-    return texts.select("vcf_id", F.trim(F.substring_index(body, "\n", 1)).alias("name"), F.regexp_replace(F.regexp_replace(body, "^[^\n]*", ""), r"\s", "").alias("seq"))
+    return texts.select("vcf_id", F.regexp_replace(F.substring_index(body, "\n", 1), r"^\s+|\s+$", "").alias("name"), F.regexp_replace(F.regexp_replace(body, "^[^\n]*", ""), r"\s", "").alias("seq"))
 
 
 def fasta_region(fasta: DataFrame, start: Column, length: Column) -> Column:
@@ -27,11 +31,11 @@ def alt_strings(alt: Column, ref: Column) -> Column:
 
 def genotype(field: Column) -> Column:
     """Allele numbers of a sample: before the colon, split at / or else at |, no-calls and
-    what is not a number dropped."""
+    what is not a number, or is out of range, dropped."""
     g = F.substring_index(field, ":", 1)
     parts = F.when(g.contains("/"), F.split(g, "/", -1)).otherwise(F.split(g, r"\|", -1))
     numbers = F.transform(parts, lambda x: F.regexp_extract(x, r"^\s*([+-]?\d+)", 1))
-    return F.transform(F.filter(numbers, lambda x: x != ""), lambda x: x.cast("int"))
+    return F.filter(F.transform(numbers, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -42,10 +46,10 @@ def parse(lines: DataFrame) -> DataFrame:
     tabs, spaces = dropped(F.split("line", "\t")), dropped(F.split("line", r"\s+"))
     rows = lines.withColumn("_f", F.when(F.size(tabs) >= 5, tabs).otherwise(spaces))
     f = lambda i: F.get("_f", F.lit(i))
-    rows = rows.withColumn("_alts", alt_strings(f(4), f(3))).withColumn("_pos", F.regexp_extract(f(1), r"^\s*(\d+)", 1))
-    status = F.when((F.trim("line") == "") | F.col("line").startswith("#"), "HEADER").when((F.size("_f") < 5) | (F.col("_pos") == ""), "MALFORMED").when(F.exists("_alts", lambda x: x.isNull()), "UNSUPPORTED_SV").otherwise("NONE")
+    rows = rows.withColumn("_alts", alt_strings(f(4), f(3))).withColumn("_pos", F.regexp_extract(f(1), r"^\s*(\d+)", 1).try_cast("long"))
+    status = F.when((F.col("line") == "") | F.col("line").startswith("#"), "HEADER").when((F.size("_f") < 5) | F.col("_pos").isNull(), "MALFORMED").when(F.exists("_alts", lambda x: x.isNull()), "UNSUPPORTED_SV").otherwise("NONE")
     gts = F.transform(F.slice("_f", 10, F.greatest(F.size("_f") - 9, F.lit(0))), genotype)
-    return rows.select("vcf_id", "line_no", status.alias("status"), f(0).alias("chrom"), F.when(F.col("_pos") != "", F.col("_pos")).cast("long").alias("pos"), f(3).alias("ref"), F.col("_alts").alias("alts"), gts.alias("gts"))
+    return rows.select("vcf_id", "line_no", status.alias("status"), f(0).alias("chrom"), F.col("_pos").alias("pos"), f(3).alias("ref"), F.col("_alts").alias("alts"), gts.alias("gts"))
 
 
 def statistics(variants: DataFrame) -> DataFrame:
@@ -55,14 +59,29 @@ def statistics(variants: DataFrame) -> DataFrame:
     return counts.join(found, "vcf_id", "left").withColumn("groups", F.coalesce("groups", F.lit(0)))
 
 
+def overlap(pos: Column, ref: Column, other_pos: Column, other_ref: Column) -> Column:
+    """Whether the reference spans of two variants have a column in common."""
+    return (pos < other_pos + F.length(other_ref)) & (other_pos < pos + F.length(ref))
+
+
 def groups(variants: DataFrame) -> DataFrame:
     """Supported variants with begin and end (half-open, from 0) and group_no: overlapping
-    ones are a group."""
-    by = Window.partitionBy("vcf_id").orderBy("pos", "line_no")
-    rows = variants.where("status = 'NONE'").withColumn("begin", F.col("pos") - 1).withColumn("end", F.col("pos") - 1 + F.length("ref"))
+    ones are a group. Both the farthest end so far and the number of the group are found
+    within stretches of positions, then over stretches, so that one long sequence has many
+    tasks."""
+    rows = variants.where("status = 'NONE'").withColumn("begin", F.col("pos") - 1).withColumn("end", F.col("pos") - 1 + F.length("ref")).withColumn("_part", F.floor(F.col("pos") / STRETCH))
+    by = Window.partitionBy("vcf_id", "_part").orderBy("pos", "line_no")
+    over = Window.partitionBy("_vcf").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(rows: DataFrame, total: Column, carried: Column) -> DataFrame:
+        parts = rows.groupBy(F.col("vcf_id").alias("_vcf"), F.col("_part").alias("_p")).agg(total.alias("_t")).select("_vcf", "_p", carried.over(over).alias("_b"))
+        return rows.join(parts, (F.col("vcf_id") == F.col("_vcf")) & (F.col("_part") == F.col("_p"))).drop("_vcf", "_p")
+
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("begin") >= reach).cast("int"), F.lit(1))
-    return rows.withColumn("_new", fresh).withColumn("group_no", F.sum("_new").over(by) - 1).drop("_new")
+    rows = before(rows, F.max("end"), F.max("_t")).withColumn("_reach", F.greatest(reach, F.col("_b"))).drop("_b")
+    rows = rows.withColumn("_new", F.coalesce((F.col("begin") >= F.col("_reach")).cast("int"), F.lit(1)))
+    rows = before(rows, F.sum("_new"), F.sum("_t"))
+    return rows.withColumn("group_no", F.sum("_new").over(by) + F.coalesce("_b", F.lit(0)) - 1).drop("_new", "_reach", "_b", "_part")
 
 
 def haplotypes(variants: DataFrame, fasta: DataFrame) -> DataFrame:
@@ -99,8 +118,10 @@ def to_symbols(variants: DataFrame, fasta: DataFrame) -> DataFrame:
     """Symbols: reference text between groups with the universal source, and each group's
     carried haplotypes."""
     alts = F.array_sort(F.collect_list(F.struct("first", "hap", "samples")))
-    found = haplotypes(variants, fasta).groupBy("vcf_id", "group_no", "begin", "end").agg(alts.alias("x"))
+    fasta = cut(fasta.select("vcf_id", "seq"))
+    found = haplotypes(cut(variants.where("status = 'NONE'")), fasta).groupBy("vcf_id", "group_no", "begin", "end").agg(alts.alias("x"))
     found = found.select("vcf_id", "begin", "end", F.transform("x", lambda a: F.struct(a["hap"].alias("s"), a["samples"].alias("src"))).cast(ALTS).alias("alts"))
+    found = cut(found)
     by = Window.partitionBy("vcf_id").orderBy("begin")
     before = found.select("vcf_id", F.coalesce(F.lag("end").over(by), F.lit(0)).alias("from"), F.col("begin").alias("to"))
     last = fasta.select("vcf_id", F.length("seq").cast("long").alias("to")).join(found.groupBy("vcf_id").agg(F.max("end").alias("from")), "vcf_id", "left").select("vcf_id", F.coalesce("from", F.lit(0)).alias("from"), "to")

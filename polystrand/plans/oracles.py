@@ -105,7 +105,10 @@ ORACLES = {
     "source_statistics": f"WITH {E1} SELECT eds_id, num_paths, max_paths_per_string, avg_paths_per_string FROM (SELECT eds_id, CAST(max(len(src)) AS BIGINT) max_paths_per_string, round(avg(len(src)), 6) avg_paths_per_string FROM st GROUP BY 1) JOIN (SELECT eds_id, count(DISTINCT p) num_paths FROM (SELECT eds_id, unnest(src) p FROM st) GROUP BY 1) USING (eds_id)",
     "memory_estimate": f"WITH {STATS} SELECT eds_id, (n_chars + 32 * m + 24 * n) + (n_chars + 32 * m + 24 * n) // 5 full_bytes, (17 * n + 4 * m + 64) + (17 * n + 4 * m + 64) // 10 index_bytes FROM stats",
     "stats_verbose": f"WITH {STATS} SELECT eds_id, round(CAST(m AS DOUBLE) / n, 6) strings_per_symbol, round(CAST(n_chars AS DOUBLE) / m, 6) chars_per_string, round(100 * (CAST(num_degenerate AS DOUBLE) / n), 6) degenerate_percent, CASE WHEN min_ctx < 5 THEN 'transform' ELSE 'none' END advice FROM stats",
-    "stats_json": f"""WITH {STATS} SELECT eds_id, '{{"n":' || n || ',"m":' || m || ',"n_chars":' || n_chars || ',"num_degenerate":' || num_degenerate || ',"min_ctx":' || min_ctx || ',"max_ctx":' || max_ctx || ',"common_chars":' || common_chars || ',"change_size":' || change_size || ',"empty_strings":' || empty_strings || '}}' json FROM stats""",
+    "stats_json": f"WITH {STATS}, sp AS (SELECT eds_id, count(DISTINCT p) paths FROM (SELECT eds_id, unnest(src) p FROM st) GROUP BY 1) SELECT eds_id, n, n_chars chars, n - num_degenerate regular, max_ctx, change_size change, (17 * n + 4 * m + 64) + (17 * n + 4 * m + 64) // 10 bytes, (n_chars + 32 * m + 24 * n) + (n_chars + 32 * m + 24 * n) // 5 full_bytes, paths, CASE WHEN min_ctx < 5 THEN 'true' ELSE 'false' END transform FROM stats JOIN sp USING (eds_id)",
+    "stats_text": f"WITH {STATS} SELECT eds_id, CAST(n AS VARCHAR) n, CAST(n_chars AS VARCHAR) chars, printf('%.2f', avg_ctx) avg_ctx FROM stats",
+    "symbol_lines": f"""WITH {E1} SELECT eds_id, pos, 'Set ' || pos || ': {{' || string_agg(CASE WHEN s = '' THEN 'ε' ELSE '"' || s || '"' END, ', ' ORDER BY alt_no) || '}}' || CASE WHEN any_value(k) > 1 THEN ' [degenerate]' ELSE '' END line FROM st GROUP BY eds_id, pos""",
+    "variants_overlap": f"WITH {VCF} SELECT b vcf_id, p line_no, rk < r2 + length(f2) AND r2 < rk + length(ref) AS \"overlap\" FROM (SELECT *, lead(rk) OVER w r2, lead(ref) OVER w f2 FROM ok WINDOW w AS (PARTITION BY b ORDER BY rk, p)) WHERE r2 IS NOT NULL",
     "eds_index": f"WITH {E1}, {SYM}, {INDEX} SELECT * FROM ix",
     "read_symbol": f"WITH {E1}, {SYM} SELECT eds_id, pos, body alts, srcs FROM sym WHERE pos = 2",
     "extract": f"""WITH {E1}, {SYM}, q AS (SELECT eds_id, CAST(0 AS BIGINT) qid, count(*) n, max(k) FILTER (pos = 2) k2 FROM sym GROUP BY 1),

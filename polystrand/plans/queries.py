@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import alts_text, intersect, product
 from ..operators import index as ix
-from ..operators import generate, leds, msa, query, vcf
+from ..operators import generate, leds, msa, query, report, vcf
+from ..session import cut
 from ..sources import eds
 from . import fixtures as fx
 from .oracles import ORACLES  # noqa: F401
@@ -97,8 +98,30 @@ def stats_verbose(spark, sf_dir):
 
 @registered
 def stats_json(spark, sf_dir):
-    whole = ["n", "m", "n_chars", "num_degenerate", "min_ctx", "max_ctx", "common_chars", "change_size", "empty_strings"]
-    return eds_statistics(spark, sf_dir).select("eds_id", F.to_json(F.struct(*whole)).alias("json"))
+    """The report's JSON, its whole numbers picked out by path."""
+    rows = report.stats_json(cut(fx.eds_orders(spark, sf_dir)), index_only=True)
+    paths = {"n": "structure.n_symbols", "chars": "structure.N_characters", "regular": "structure.regular_symbols", "max_ctx": "context_lengths.max", "change": "variations.total_change_size", "bytes": "memory.current_bytes", "full_bytes": "memory.estimated_full_bytes", "paths": "sources.num_paths"}
+    return rows.select("eds_id", *(F.get_json_object("json", f"$.{p}").cast("long").alias(n) for n, p in paths.items()), F.get_json_object("json", "$.recommendations.needs_transformation").alias("transform"))
+
+
+@registered
+def stats_text(spark, sf_dir):
+    text = report.stats_text(cut(fx.eds_orders(spark, sf_dir)))
+    line = lambda k: F.trim(F.substring(F.split("text", "\n")[k], 33, 12))
+    return text.select("eds_id", line(2).alias("n"), line(3).alias("chars"), line(10).alias("avg_ctx"))
+
+
+@registered
+def symbol_lines(spark, sf_dir):
+    return report.symbol_lines(fx.eds_orders(spark, sf_dir))
+
+
+@registered
+def variants_overlap(spark, sf_dir):
+    """Neighbouring variants, and whether they overlap."""
+    by = Window.partitionBy("vcf_id").orderBy("pos", "line_no")
+    rows = variants(spark, sf_dir).where("status = 'NONE'").withColumn("p2", F.lead("pos").over(by)).withColumn("r2", F.lead("ref").over(by)).where("p2 is not null")
+    return rows.select("vcf_id", "line_no", vcf.overlap(F.col("pos"), F.col("ref"), F.col("p2"), F.col("r2")).alias("overlap"))
 
 
 @registered
@@ -188,13 +211,13 @@ def position_queries(spark, sf_dir, index: DataFrame) -> DataFrame:
 
 @registered
 def check_position(spark, sf_dir):
-    index = ix.index(fx.eds_separated(spark, sf_dir))
+    index = cut(ix.index(fx.eds_separated(spark, sf_dir)))
     return query.check_position(index, position_queries(spark, sf_dir, index))
 
 
 @registered
 def path_intersection(spark, sf_dir):
-    index = ix.index(fx.eds_separated(spark, sf_dir))
+    index = cut(ix.index(fx.eds_separated(spark, sf_dir)))
     found = query.walk(index, position_queries(spark, sf_dir, index).where("qid = 0"))
     return found.select("eds_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 

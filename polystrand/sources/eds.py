@@ -36,33 +36,46 @@ def eds_status(text: Column) -> Column:
 
 def seds_status(text: Column) -> Column:
     t = stripped(text)
-    return F.when(t.isNull() | (t == ""), "EMPTY_SOURCES").when(~t.rlike(r"^(?:\{[^{}]*\})*$"), "BAD_BRACES").when(t.rlike(r"\{,*\}"), "EMPTY_SET").when(t.rlike(r"[^{},0-9]"), "BAD_CHARACTER").otherwise("OK")
+    return F.when(t.isNull() | (t == ""), "EMPTY_SOURCES").when(~t.rlike(r"^(?:\{[^{}]*\})*$"), "BAD_BRACES").when(t.rlike(r"\{,*\}"), "EMPTY_SET").when(t.rlike(r"[^{},0-9]"), "BAD_CHARACTER").when(F.exists(F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.try_cast("int").isNull()), "BAD_NUMBER").otherwise("OK")
 
 
 def source_sets(text: Column) -> Column:
     """Sorted distinct path ids, a set a string; empty tokens between commas count nothing."""
     sets = F.regexp_extract_all(stripped(text), F.lit(r"\{([^{}]*)\}"), F.lit(1))
-    numbers = lambda s: F.transform(F.filter(F.split(s, ",", -1), lambda x: x != ""), lambda x: x.cast("int"))
+    numbers = lambda s: F.transform(F.filter(F.split(s, ",", -1), lambda x: x != ""), lambda x: x.try_cast("int"))
     return F.transform(sets, lambda s: F.array_sort(F.array_distinct(numbers(s))))
 
 
+def text_status(eds: Column, seds: Column) -> Column:
+    """The status of an EDS and its source text (null: none) together, the count of sets
+    included."""
+    m = F.aggregate(F.regexp_extract_all(normalized(eds), F.lit(r"\{([^{}]*)\}"), F.lit(1)), F.lit(0), lambda n, x: n + F.size(F.split(x, ",", -1)))
+    with_sources = F.when(seds_status(seds) != "OK", seds_status(seds)).when(F.size(source_sets(seds)) != m, "CARDINALITY").otherwise("OK")
+    return F.when(eds_status(eds) != "OK", eds_status(eds)).when(seds.isNull(), "OK").otherwise(with_sources)
+
+
 def validate(texts: DataFrame) -> DataFrame:
-    """eds_id and status of EDS and source texts together, the count of sets included."""
-    m = F.aggregate(F.regexp_extract_all(normalized(F.col("eds")), F.lit(r"\{([^{}]*)\}"), F.lit(1)), F.lit(0), lambda n, x: n + F.size(F.split(x, ",", -1)))
-    with_sources = F.when(seds_status(F.col("seds")) != "OK", seds_status(F.col("seds"))).when(F.size(source_sets(F.col("seds"))) != m, "CARDINALITY").otherwise("OK")
-    status = F.when(eds_status(F.col("eds")) != "OK", eds_status(F.col("eds"))).when(F.col("seds").isNull(), "OK").otherwise(with_sources)
-    return texts.select("eds_id", status.alias("status"))
+    """eds_id and status of EDS and source texts."""
+    return texts.select("eds_id", text_status(F.col("eds"), F.col("seds")).alias("status"))
+
+
+def load_sources(texts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``texts`` (eds_id, eds) with the source texts (eds_id, seds) of the same id; a string
+    without one raises when it is read, as a missing source file does."""
+    seds = F.when(F.col("there"), F.col("seds")).otherwise(F.raise_error(F.concat(F.lit("no sources: "), F.col("eds_id"))))
+    joined_rows = texts.select("eds_id", "eds").join(sources.select("eds_id", "seds", F.lit(True).alias("there")), "eds_id", "left")
+    return joined_rows.select("eds_id", "eds", F.coalesce(seds, F.lit("")).alias("seds"))
 
 
 def parse(texts: DataFrame, strict: bool = True) -> DataFrame:
-    """Symbols of (eds_id, eds[, seds]). Strict: a wrong text raises; else it has no rows."""
+    """Symbols of (eds_id, eds[, seds]). Strict: a wrong text, or wrong sources, raise; else
+    they have no rows."""
     has_sources = "seds" in texts.columns
     rows = texts if has_sources else texts.withColumn("seds", F.lit(None).cast("string"))
-    bad = validate(rows.select("eds_id", "eds", "seds")).where("status <> 'OK'")
     found = F.regexp_extract_all(normalized(F.col("eds")), F.lit(r"\{([^{}]*)\}"), F.lit(1))
-    ok = eds_status(F.col("eds")) == "OK"
-    text = F.when(ok, F.col("eds")).otherwise(F.raise_error(F.concat(F.lit("malformed EDS: "), F.col("eds_id")))) if strict else F.col("eds")
-    rows = rows.withColumn("eds", text) if strict else rows.join(bad.select("eds_id"), "eds_id", "left_anti")
+    status = text_status(F.col("eds"), F.col("seds"))
+    wrong = F.raise_error(F.concat(F.lit("malformed EDS or sources ("), status, F.lit("): "), F.coalesce("eds_id", F.lit("null"))))
+    rows = rows.withColumn("eds", F.when(status == "OK", F.col("eds")).otherwise(wrong)) if strict else rows.where(status == "OK")
     symbols = rows.select("eds_id", "seds", F.posexplode(found).alias("pos", "body")).select("eds_id", "seds", F.col("pos").cast("long").alias("pos"), F.split("body", ",", -1).alias("strings"))
     if not has_sources:
         return symbols.select("eds_id", "pos", F.transform("strings", lambda s: F.struct(s.alias("s"), F.lit(None).cast("array<int>").alias("src"))).cast(ALTS).alias("alts"))
@@ -83,7 +96,8 @@ def serialize(symbols: DataFrame, compact: bool = False) -> DataFrame:
 
 
 def serialize_sources(symbols: DataFrame) -> DataFrame:
-    text = F.array_join(F.transform("alts", lambda x: src_text(x["src"])), "")
+    none = F.raise_error(F.concat(F.lit("no sources are loaded: "), F.col("eds_id")))
+    text = F.array_join(F.transform("alts", lambda x: F.when(x["src"].isNull(), none).otherwise(src_text(x["src"]))), "")
     return joined(symbols.select("eds_id", "pos", text.alias("t")), "seds")
 
 

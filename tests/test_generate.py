@@ -1,5 +1,3 @@
-import re
-
 from pyspark.sql import functions as F
 
 from polystrand import cli
@@ -18,16 +16,36 @@ def test_random_eds(spark):
             assert sorted(p for a in r.alts for p in a.src) == [1, 2, 3, 4] and all(a.src for a in r.alts)
 
 
+def test_long_insertions(spark):
+    rows = generate.random_eds(spark, "r", 300, 60, max_alts=4, snp_ratio=0.1, seed=2, min_alts=3, longest=6).collect()
+    varied = [r for r in rows if len(r.alts) > 1]
+    assert {len(r.alts) for r in varied} == {3, 4}
+    lengths = {len(a.s) for r in varied for a in r.alts[1:]}
+    assert 0 in lengths and max(lengths) == 7 and lengths <= set(range(8))
+
+
 def test_patterns(spark):
+    """Every pattern is a walk: the end of a common symbol, then a choice a symbol."""
     index = ix.index(generate.random_eds(spark, "r", 100, 10, seed=5))
-    rows = generate.generate_patterns(index, 30, 12).collect()
-    assert len(rows) == 30 and all(len(r.pattern) == 12 for r in rows)
-    symbols = index.orderBy("pos").collect()
-    text = re.compile("".join(f"(?:{'|'.join(a.s for a in r.alts)})" if len(r.alts) > 1 else r.alts[0].s for r in symbols))
-    assert text.pattern
-    whole = {"".join(p) for p in [[r.alts[0].s for r in symbols]]}
-    unwrapped = generate.generate_patterns(index, 30, 3, wrap=False).collect()
-    assert all(len(r.pattern) <= 3 for r in unwrapped) and whole
+    symbols = [[a.s for a in r.alts] for r in index.orderBy("pos").collect()]
+    first = "".join(s[0] for s in symbols)
+
+    def walks(pattern: str, wrap: bool) -> bool:
+        for i, own in enumerate(symbols):
+            for at in range(len(own[0]) if len(own) == 1 else 0):
+                texts = {own[0][at:]}
+                for later in symbols[i + 1 :]:
+                    texts = {t if len(t) >= len(pattern) else t + s for t in texts for s in later}
+                    texts = {t for t in texts if pattern.startswith(t[: len(pattern)])}
+                ends = {(t + first * 3 if wrap else t)[: len(pattern)] for t in texts}
+                if pattern in ends:
+                    return True
+        return False
+
+    for wrap, length in ((True, 12), (False, 9), (True, 130)):
+        rows = generate.generate_patterns(index, 20, length, wrap=wrap).collect()
+        assert len(rows) == 20 and all(len(r.pattern) == length or not wrap for r in rows)
+        assert all(walks(r.pattern, wrap) for r in rows)
 
 
 def test_tools(spark, tmp_path, capsys):
@@ -37,7 +55,12 @@ def test_tools(spark, tmp_path, capsys):
     cli.main(["eds2leds", "-i", str(tmp_path / "a.eds"), "-l", "4"])
     assert (tmp_path / "a_l4.leds").read_text() == "AGTC{TC,TA,CCTC,CCTA}TATA\n"
     cli.main(["stats", "-i", str(tmp_path / "a.eds")])
-    assert '"n":5' in capsys.readouterr().out
+    assert "Number of symbols (n)                    5" in capsys.readouterr().out
+    cli.main(["stats", "-j", "-f", "-i", str(tmp_path / "a.eds"), "-s", str(tmp_path / "a.seds"), "-p"])
+    out = capsys.readouterr().out
+    assert '"n_symbols":5' in out and '"storage_mode":"FULL"' in out and '"num_paths":4' in out and 'Set 1: {ε, "CC"} [degenerate]' in out
+    cli.main(["random", "-l", "60", "--variability", "0.1", "--variant-length-max", "3", "-o", str(tmp_path / "r.eds")])
+    assert (tmp_path / "r.eds").read_text().count(",") >= 6
 
 
 def test_stream(spark, tmp_path):

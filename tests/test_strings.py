@@ -1,10 +1,11 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from polystrand.operators import index as ix
-from polystrand.operators import leds, msa, query, vcf
+from polystrand.operators import leds, msa, query, report, vcf
 from polystrand.sources import eds
 
 ROW1, SRC1 = "{ACGT}{A,ACA}{CGT}{T,TG}", "{0}{1,3}{2}{0}{1}{2,3}"
@@ -52,6 +53,126 @@ def test_merge(spark, text, seds, merged, paths):
     assert seds is None or sources(out) == paths
 
 
+@pytest.mark.parametrize("text,seds", [("{A}{B}", "{1}{2}{3}"), ("{A}{B}", "{1}{}"), ("{A}{B}", "{1}"), ("{A}", "{99999999999}"), ("{A}", "{x}"), ("{A", "{1}")])
+def test_strict_sources(spark, text, seds):
+    with pytest.raises(Exception, match="malformed EDS or sources"):
+        symbols(spark, text, seds).collect()
+    rows = eds.from_strings(spark, [("x", text, seds), ("y", "{A}", "{1}")])
+    assert {r.eds_id for r in eds.parse(rows, strict=False).collect()} == {"y"}
+    assert eds.validate(rows).where("status = 'OK'").count() == 1
+
+
+def test_sources_of_files(spark):
+    texts = spark.createDataFrame([("x", "{A}{B}"), ("y", "{C}")], "eds_id string, eds string")
+    found = spark.createDataFrame([("x", "{1}{2}")], "eds_id string, seds string")
+    assert sources(eds.parse(eds.load_sources(texts.where("eds_id = 'x'"), found))) == "{1}{2}"
+    with pytest.raises(Exception, match="no sources"):
+        eds.parse(eds.load_sources(texts, found)).collect()
+    with pytest.raises(Exception, match="no sources are loaded"):
+        eds.serialize_sources(symbols(spark, "{A}")).collect()
+
+
+def test_numbers_out_of_range(spark):
+    lines = ["1\t99999999999999999999\t.\tA\tC", "   ", "", "1\t5\t.\tA\tC\t.\t.\t.\tGT\t99999999999|1"]
+    rows = vcf.parse(spark.createDataFrame([("v", i, x) for i, x in enumerate(lines)], "vcf_id string, line_no long, line string")).orderBy("line_no").collect()
+    assert [r.status for r in rows] == ["MALFORMED", "MALFORMED", "HEADER", "NONE"] and rows[3].gts == [[1]]
+    assert eds.validate(eds.from_strings(spark, [("x", "{A}", "{99999999999}")])).first().status == "BAD_NUMBER"
+    name, seq = vcf.parse_fasta(spark.createDataFrame([("v", ">chr1 \r\nAC\r\nGT\r\n")], "vcf_id string, text string")).select("name", "seq").first()
+    assert (name, seq) == ("chr1", "ACGT")
+
+
+def test_reports(spark):
+    import json
+
+    rows = symbols(spark, "{ACGT}{A,}{CGT}{T,TG}", "{0}{1,3}{2}{0}{1}{2,3}")
+    full_mode = json.loads(report.stats_json(rows).first()["json"])
+    assert full_mode["structure"] == {"n_symbols": 4, "N_characters": 11, "m_strings": 6, "degenerate_symbols": 2, "regular_symbols": 2}
+    assert full_mode["memory"]["mode"] == "FULL" and full_mode["sources"] == {"loaded": True, "file_provided": True, "num_paths": 4, "max_paths_per_string": 2, "avg_paths_per_string": 1.33}
+    assert full_mode["context_lengths"] == {"min": 3, "max": 4, "avg": 3.5} and full_mode["recommendations"]["needs_transformation"] is True
+    index_only = json.loads(report.stats_json(symbols(spark, "{ACGTA}"), index_only=True).first()["json"])
+    assert index_only["memory"]["reduction_factor"] == round(73 / 93, 1) and index_only["sources"]["loaded"] is False and index_only["recommendations"]["ready_for_indexing"] is True
+    text = report.stats_text(rows, verbose=True).first()["text"]
+    assert "Sources: 4 paths" in text and "Degenerate symbols, %" in text and "Advice: transform" in text
+    lines = [r.line for r in report.symbol_lines(rows).orderBy("pos").collect()]
+    assert lines[:2] == ['Set 0: {"ACGT"}', 'Set 1: {"A", ε} [degenerate]']
+    sizes = spark.createDataFrame([(x,) for x in (0, 1023, 1024, 1536, 5 * 1024**3, 3 * 1024**5)], "x long").select(report.format_size(F.col("x")), report.format_number(F.col("x"))).collect()
+    assert [r[0] for r in sizes] == ["0.0 B", "1023.0 B", "1.0 KB", "1.5 KB", "5.0 GB", "3072.0 TB"] and sizes[3][1] == "1,536"
+
+
+def brute_leds(parts, least, linear):
+    """Merges the leftmost breaking pairs, round by round, on plain lists of (text, paths)."""
+
+    def meet(a, b):
+        return {0} if 0 in a and 0 in b else b if 0 in a else a if 0 in b else a & b
+
+    while True:
+        n = len(parts)
+        short = [len(p) == 1 and 0 < i < n - 1 and len(p[0][0]) < least for i, p in enumerate(parts)]
+        bad = [i for i in range(n - 1) if short[i] or short[i + 1] or len(parts[i]) > 1 < len(parts[i + 1])]
+        if not bad:
+            return parts
+        picked, last = set(), -2
+        for i in bad:
+            if i > last + 1:
+                picked.add(last := i)
+        out, i = [], 0
+        while i < n:
+            if i in picked:
+                both = [(x + y, meet(a, b) if linear else None) for x, a in parts[i] for y, b in parts[i + 1]]
+                out.append([p for p in both if not linear or p[1]])
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+
+
+@pytest.mark.parametrize("linear", [False, True])
+def test_least_context_by_brute_force(spark, linear):
+    """Random strings, adjacent symbols of one alternative among them, many at once."""
+    rnd, texts, want = random.Random(5 + linear), [], {}
+    for k in range(60):
+        parts = []
+        for _ in range(rnd.randrange(1, 9)):
+            n = rnd.choice([1, 1, 2, 3])
+            paths = [{0}] if n == 1 else [{j + 1} for j in range(n - 1)] + [set(range(n, 5))]
+            parts.append([("".join(rnd.choices("ACGT", k=rnd.randrange(0 if n > 1 else 1, 5))), p) for p in paths])
+        texts.append((f"e{k}", "".join("{" + ",".join(s for s, _ in p) + "}" for p in parts), "".join("{" + ",".join(map(str, sorted(q))) + "}" for p in parts for _, q in p)))
+        want[f"e{k}"] = brute_leds(parts, 3, linear)
+    rows = eds.parse(eds.from_strings(spark, texts))
+    found = leds.to_leds(rows, 3, linear=linear).orderBy("eds_id", "pos").collect()
+    have = {}
+    for r in found:
+        have.setdefault(r.eds_id, []).append([(a.s, set(a.src) if linear else None) for a in r.alts])
+    plain = {k: [[(s, q if linear else None) for s, q in p] for p in v] for k, v in want.items()}
+    assert have == plain
+
+
+def test_groups_in_stretches(spark, monkeypatch):
+    rnd = random.Random(2)
+    spans = sorted((rnd.randrange(1, 400), rnd.randrange(1, 12)) for _ in range(60))
+    rows = vcf.parse(spark.createDataFrame([("v", i, f"1\t{p}\t.\t{'A' * n}\tC") for i, (p, n) in enumerate(spans)], "vcf_id string, line_no long, line string"))
+    want, reach, group = [], 0, -1
+    for p, n in spans:
+        group += p - 1 >= reach or group < 0
+        reach = max(reach, p - 1 + n)
+        want.append(group)
+    for stretch in (1 << 16, 8):
+        monkeypatch.setattr(vcf, "STRETCH", stretch)
+        assert [r.group_no for r in vcf.groups(rows).orderBy("pos", "line_no").collect()] == want
+
+
+def test_walks_in_buckets(spark, monkeypatch):
+    rows = symbols(spark, "{ACGT}{A,ACA}{CGT}{T,TG}{AA}")
+    asked = spark.createDataFrame([("x", 1, 0, [1, 3], "ACGTACACGTTGAA"), ("x", 2, 5, [2], "GTTA"), ("x", 3, 6, [3], "TTGAC")], "eds_id string, qid long, common_pos long, deg array<int>, pattern string")
+    for span in (4096, 2):
+        monkeypatch.setattr(query, "SPAN", span)
+        monkeypatch.setattr(ix, "SPAN", span)
+        assert {r.qid: r.status for r in query.check_position(ix.index(rows), asked).collect()} == {1: "MATCH", 2: "MATCH", 3: "NO_MATCH"}
+        cut = spark.createDataFrame([("x", 1, 1, 3, [1, 0, 1])], "eds_id string, qid long, pos long, len long, changes array<int>")
+        assert ix.extract(rows, cut).first().text == "ACACGTTG"
+
+
 def test_merge_errors(spark):
     with pytest.raises(ValueError):
         leds.merge_adjacent(symbols(spark, "{A}{B}{C}"), 0, 2)
