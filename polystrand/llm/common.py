@@ -78,6 +78,12 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def released(table: pa.Table) -> pa.Table:
+    """The same table; memory that groups before it have left goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def trimmed(batches: Iterator) -> Iterator:
     """The same batches; at the end of a task the worker gives free memory back."""
     try:

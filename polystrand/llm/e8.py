@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, released, small_batches, staged, trimmed
 from .graph import components
 from .vectors import matrix, units, valid_vectors
 
 TABLES, PROBES, SCALE, BLOCK = 8, 3, 1.2, 1024
+#: Rows whose linked pairs are looked at together.
+SLICE = 64
 LIKE = 0.98
 
 
@@ -94,7 +96,7 @@ def filed(classes: DataFrame) -> DataFrame:
             yield pa.record_batch([*b.columns[:3], pa.array(list(codes), pa.list_(pa.int64()))], names=["cls", "label", "dim", "codes"])
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.select("cls", "label", "dim", "embedding").mapInArrow(rows, f"cls long, label {label}, dim int, codes array<long>")
+    return classes.select("cls", "label", "dim", "embedding").mapInArrow(lambda batches: trimmed(rows(batches)), f"cls long, label {label}, dim int, codes array<long>")
 
 
 def group_links(table: pa.Table, like: float) -> pa.Table:
@@ -107,34 +109,35 @@ def group_links(table: pa.Table, like: float) -> pa.Table:
     x = units(matrix(table["embedding"]))
     n = len(cls)
     links, least = np.zeros(n, dtype=np.int64), cls.copy()
-    pairs_of = []
+    linked = np.zeros((n, n), dtype=bool)  # at most (2 * BLOCK) ** 2 bytes
     for start in range(0, n, 512):
-        part = slice(start, start + 512)
-        near = x[part] @ x.T >= like
-        if lo != hi:
-            near &= block[part, None] != block[None, :]
-        i, j = np.nonzero(near)
-        i += start
-        other = i != j
-        i, j = i[other], j[other]
+        linked[start : start + 512] = x[start : start + 512] @ x.T >= like
+    if lo != hi:
+        linked &= block[:, None] != block[None, :]
+    np.fill_diagonal(linked, False)
+    for start in range(0, n, SLICE):
+        i, j = np.nonzero(linked[start : start + SLICE])
         if not len(i):
             continue
-        pairs_of.append((i, j))
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            new = np.ones(len(a), dtype=bool)
-            for t in range(table_no):
-                mine, yours = codes[a, t * width : (t + 1) * width], codes[b, t * width : (t + 1) * width]
-                new &= ~(mine[:, :, None] == yours[:, None, :]).any((1, 2))
-            mine, yours = (codes[k, table_no * width : (table_no + 1) * width] for k in (a, b))
-            shared = (mine[:, :, None] == yours[:, None, :]).any(2)
-            new &= np.where(shared, mine, np.iinfo(np.int64).max).min(1) == cell
-            links += np.bincount(a[new], weights=weight[b[new]], minlength=n).astype(np.int64)
-    while True:
-        before = least.copy()
-        for i, j in pairs_of:
-            np.minimum.at(least, i, least[j])
-        if (before == least).all():
+        i += start
+        new = np.ones(len(i), dtype=bool)
+        for t in range(table_no):
+            # pairs that no earlier table has brought together
+            left = np.flatnonzero(new)
+            mine, yours = codes[i[left], t * width : (t + 1) * width], codes[j[left], t * width : (t + 1) * width]
+            new[left] = ~(mine[:, :, None] == yours[:, None, :]).any((1, 2))
+        i, j = i[new], j[new]
+        mine, yours = (codes[k, table_no * width : (table_no + 1) * width] for k in (i, j))
+        shared = (mine[:, :, None] == yours[:, None, :]).any(2)
+        first = np.where(shared, mine, np.iinfo(np.int64).max).min(1) == cell
+        links += np.bincount(i[first], weights=weight[j[first]], minlength=n).astype(np.int64)
+    some = np.flatnonzero(linked.any(1))
+    while len(some):
+        before = least[some]
+        for start in range(0, len(some), 256):
+            own = some[start : start + 256]
+            least[own] = np.minimum(least[own], np.where(linked[own], least[None, :], np.iinfo(np.int64).max).min(1))
+        if (before == least[some]).all():
             break
     kept = (links > 0) | (least != cls)
     return pa.table([pa.array(cls[kept]), pa.array(links[kept]), pa.array(least[kept])], names=["cls", "links", "least"])
@@ -147,6 +150,7 @@ def matrix_int(column: pa.ChunkedArray) -> np.ndarray:
 
 def near_duplicates(embeddings: DataFrame, like: float = LIKE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    small_batches(embeddings.sparkSession)
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     rows = valid_vectors(every).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("key", F.xxhash64("embedding"))
     classes = rows.groupBy("label", "key", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight"), F.first("dim").alias("dim"))
@@ -161,7 +165,7 @@ def near_duplicates(embeddings: DataFrame, like: float = LIKE) -> DataFrame:
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     shared = shared.select("*", partner.alias("partner")).withColumn("lo", F.least("block", "partner")).withColumn("hi", F.greatest("block", "partner"))
     shared = shared.select("side", "cell", "lo", "hi", "block", "cls", "codes").join(classes.select("cls", "weight", "embedding"), "cls")
-    found = shared.groupBy("side", "cell", "lo", "hi").applyInArrow(lambda t: group_links(t, like), "cls long, links long, least long")
+    found = shared.groupBy("side", "cell", "lo", "hi").applyInArrow(lambda t: released(group_links(t, like)), "cls long, links long, least long")
     found = staged(found.groupBy("cls", "least").agg(F.sum("links").alias("links")), "links")
     roots = components(found.where("least <> cls").select(F.col("cls").alias("a"), F.col("least").alias("b")))
     firsts = roots.groupBy("root").agg(F.min("node").alias("component_id"))

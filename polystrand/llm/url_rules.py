@@ -6,8 +6,10 @@ the rules of its tokens, drops those whose other tokens it lacks, and takes the
 the most confident one left. DataFrame expressions only.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and no tokens of
-them; a URL that no rule fits is allowed; repeated rows are judged each; an empty table, or
-one without labels, gives no rules.
+them; a URL that no rule fits is allowed; of rules that fit alike the one of more confidence,
+support, tokens and then the later verdict by name is taken; URLs of any length are read
+whole; repeated rows, and rows without a page_id, are judged each; other columns of any name
+take no part; an empty table, or one without labels, gives no rules.
 """
 
 from __future__ import annotations
@@ -89,6 +91,7 @@ def filter_urls(pages: DataFrame, given: list[tuple[str, str]] | None = None) ->
     rows = staged(rows.select("page_id", "host", "path", "own", "tokens", F.xxhash64("tokens").alias("page_key")), "urls")
     rules = mine(rows.where("own is not null").select("tokens", F.col("own.verdict").alias("verdict")))
     open_rows = rows.where("own is null").groupBy("page_key").agg(F.first("tokens").alias("tokens"))
-    judged = judge(open_rows, rules).select(F.col("page_key").alias("_key"), "mined")
+    # written, so that the pages of a hot key are split and not read beside an aggregation
+    judged = staged(judge(open_rows, rules).select(F.col("page_key").alias("_key"), "mined"), "judged")
     out = rows.join(judged, F.col("page_key") == F.col("_key"), "left")
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "mined", F.lit(DEFAULT)).alias("verdict"))
