@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, quoted, remove, shared_dir
+from .common import discard, free_name, quoted, remove, shared_dir, staged
 
 KEY = r"[A-Za-z0-9_+/=\-]"
 BLOCK = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
@@ -212,7 +212,10 @@ def fit(findings: DataFrame, known: Lexicon) -> RandomForestClassificationModel:
     """The forest over labelled findings (secret, before, after, place, label)."""
     x = array_to_vector(features(F.col("secret"), F.col("before"), F.col("after"), F.col("place"), known))
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=40, maxDepth=8, seed=2)
-    return forest.fit(findings.select(x.alias("x"), "label"))
+    rows = staged(findings.select(x.alias("x"), "label"), "findings")  # read several times
+    model = forest.fit(rows)
+    discard(rows)
+    return model
 
 
 def judge_of(docs: DataFrame, findings: DataFrame | None = None) -> Judge:
