@@ -4,7 +4,11 @@ packing, each stage over all that the one before it kept.
 Every stage but the last returns the columns of documents. Stages are written as Parquet
 in the shared folder and read again, so a lost executor repeats one stage at most.
 Defined cases: an empty table passes through every stage; with no labelled language
-nothing can be identified, and every document goes in the first stage."""
+nothing can be identified, and every document goes in the first stage; null, empty and
+letterless texts go there too; texts of any length are read whole; of equal or similar texts
+the least doc_id stays, and rows without a doc_id all stay, until packing gives each its
+pieces; rows that repeat doc_id and text are one; extra columns of any name pass through
+to packing."""
 
 from __future__ import annotations
 
