@@ -80,17 +80,49 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, WORD).count() == 0
 
 
+def one_by_one(docs, gaps, least, capacity):
+    """A packing round over single documents and gaps: the lengths and the gaps that are left."""
+    least = min(least, max(docs))
+    bundles, rest, held = [], [], []
+    for length in sorted(set(docs), reverse=True):
+        fits = [g for g in gaps if g >= length]
+        each = min(fits) // length if fits and length >= least else 0
+        own = [length] * docs.count(length)
+        for k in range(0, len(own), each or len(own)):
+            part = own[k : k + (each or len(own))]
+            if each and len(bundles) < len(fits):
+                bundles.append(part)
+            else:
+                rest += part
+                held += part if length >= least and not fits else []
+    free, used = sorted(gaps), []
+    for part in sorted(bundles):
+        gap = next(g for g in free if g >= part[0])
+        free.remove(gap)
+        used.append(gap - sum(part))
+    return sorted(rest), sorted(free + used + [capacity] * -(-sum(held) // capacity))
+
+
 def test_rounds_are_best_fit():
     rnd = random.Random(1)
     for _ in range(50):
         lengths = [rnd.randrange(1, 33) for _ in range(rnd.randrange(1, 200))]
         counts = {n: lengths.count(n) for n in set(lengths)}
+        docs, gaps, least, opened = [(n, 0, c) for n, c in counts.items()], [], 32, 0
         fill, seen = {}, {n: set() for n in counts}
-        for n, lo, hi, first, offset in packing.best_fit_rounds(counts, 32):
-            for k in range(hi - lo):
-                assert fill.get(first + k, 0) == offset
-                fill[first + k] = offset + n
-                seen[n].add(lo + k)
+        while docs:
+            single = [n for n, _, c in docs for _ in range(c)], [g for g, _, c in gaps for _ in range(c)]
+            want = one_by_one(*single, least, 32)
+            docs, gaps, given, least, opened = packing.best_fit_round(docs, gaps, least, opened, 32)
+            assert sorted(n for n, _, c in docs for _ in range(c)) == want[0]
+            if docs:
+                assert sorted(g for g, _, c in gaps for _ in range(c)) == [g for g in want[1] if g >= want[0][0]]
+            for n, rank, c, each, sequence, offset in given:
+                for k in range(c):
+                    assert fill.get(sequence + k // each, 0) == offset + k % each * n
+                    fill[sequence + k // each] = offset + k % each * n + n
+                    assert rank + k not in seen[n]
+                    seen[n].add(rank + k)
         assert all(seen[n] == set(range(counts[n])) for n in counts) and max(fill.values()) <= 32
         assert len(fill) <= 11 / 9 * -(-sum(lengths) // 32) + 1
 
