@@ -166,12 +166,16 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "counts", "odd0", "odd1", "first.*"), "nodes")
     close = close_pairs(nodes.select("key", "fp"))
     # of the documents that meet at a part, each is held against three hubs
-    entries = found.join(nodes.select("doc_id", "h", "key"), ["doc_id", "h", "key"]).select("key", F.posexplode(F.arrays_zip("parts", "spare")).alias("level", "x"))
+    # (their parts are by far the largest table here, so they move only if there are many)
+    own = nodes.select("doc_id", "h", "key")
+    own = F.broadcast(own) if nodes.count() <= BROADCAST_ROWS else own
+    entries = found.join(own, ["doc_id", "h", "key"]).select("key", F.posexplode(F.arrays_zip("parts", "spare")).alias("level", "x"))
     entries = entries.select("key", F.explode("x.parts").alias("s"), (2 * F.col("x.spare") + F.col("level")).alias("spare"))
     bucket = Window.partitionBy("s")
     hub = F.struct(F.xxhash64(F.lit(1), "key").alias("h"), "key")
     every = entries.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket)).where("lo <> hi")
     every = staged(every.withColumn("mid", F.min(hub).over(bucket)["key"]).withColumn("heavy", F.count("*").over(bucket) > HEAVY), "hits")
+    discard(found)
     # parts that very many have go where enough others are left
     excess = every.where("heavy").groupBy("key", "spare").agg(F.count("*").alias("c")).where("c <= spare div 2").select("key", "spare")
     hits = every.where("not heavy").unionByName(every.where("heavy").join(excess, ["key", "spare"], "left_anti"))
@@ -197,7 +201,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     roots = named(named(nodes.withColumn("c", F.col("key")), near), far)
     firsts = roots.groupBy("c").agg(first.alias("first"))
     out = staged(roots.join(firsts, "c").select("doc_id", "h", "first"), "copies")
-    discard(found, nodes, close, every, sets, links, near, once, more, more_sets, far)
+    discard(nodes, close, every, sets, links, near, once, more, more_sets, far)
     return out
 
 
