@@ -65,6 +65,13 @@ def discard(*frames: DataFrame) -> None:
             remove(df.sparkSession, df.staged_path)
 
 
+def settled(spark: SparkSession) -> None:
+    """Collects garbage in the driver: plans, broadcasts and results of queries that have ended
+    go, and its heap shrinks. Spark's own cleaner waits for that too."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def quoted(name: str) -> str:
     """A column name with any characters, as a reference to that column."""
     return f"`{name.replace('`', '``')}`"

@@ -194,13 +194,18 @@ def parity_alike(like: float) -> Column:
     return alike(F.col("a_n"), F.col("b_n"), like) & (odd <= differ(like))
 
 
+def counts_alike(like: float) -> Column:
+    """Whether sets a and b of these counts can have the similarity: they differ in at least as
+    many shingles as their counts do."""
+    gap = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda n, x: n + x)
+    return gap <= differ(like)
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, like: float) -> DataFrame:
-    """Of ``pairs`` (a, b) those that can have the similarity: sets differ in at least as many
-    shingles as their counts do."""
+    """Of ``pairs`` (a, b) those that can have the similarity by sizes and counts."""
     of = lambda x: nodes.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "counts")))
     met = pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("a_n"), F.col("b_n"), like))
-    gap = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda n, x: n + x)
-    return met.where(gap <= differ(like)).select("a", "b")
+    return met.where(counts_alike(like)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:

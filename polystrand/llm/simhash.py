@@ -30,16 +30,18 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, small_batches, staged, trimmed
+from .common import discard, free_name, settled, small_batches, staged, trimmed
 from .graph import components
-from .shingles import HEAVY, LIKE, WIDTH, filed_parts, majority, parity_alike, possible, verified, whole_sets
+from .shingles import HEAVY, LIKE, WIDTH, counts_alike, filed_parts, majority, parity_alike, possible, verified, whole_sets
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Rows of two numbers that are sent to all executors at most.
+#: Rows of a number that are sent to all executors at most.
 BROADCAST_ROWS = 1_000_000
+#: Keys of one block of a large meeting.
+BLOCK = 512
 
 
 def fingerprint(text: str | None) -> int:
@@ -131,15 +133,24 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def among(rows: DataFrame, few: DataFrame, *on: str) -> DataFrame:
+    """The ``rows`` whose columns ``on`` are in the staged ``few``, which all executors get if they
+    are not many: as one hash a row, which the driver holds in a third of the memory. A row
+    that has another's hash may come too, and does no harm: it meets its own key, or goes
+    when the whole columns are compared."""
+    if few.count() > BROADCAST_ROWS:
+        return rows.join(few.select(*on), list(on), "left_semi")
+    name = free_name(rows, "hash")
+    return rows.withColumn(name, F.xxhash64(*on)).join(F.broadcast(few.select(F.xxhash64(*on).alias(name))), name, "left_semi").drop(name)
+
+
 def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, like: float) -> tuple[DataFrame, DataFrame]:
     """Of staged ``pairs`` (a, b) of keys those whose texts have the similarity, and the sets
     that were read for it: of these texts alone."""
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = staged(nodes.join(asked, "key").select("doc_id", "h", "key"), "wanted")
-    few = wanted.select("doc_id", "h")
     # few documents are asked for: so texts move only if there are many
-    few = F.broadcast(few) if wanted.count() <= BROADCAST_ROWS else few
-    sets = whole_sets(rows.join(few, ["doc_id", "h"], "left_semi"), width)
+    sets = whole_sets(among(rows, wanted, "doc_id", "h"), width)
     # one doc_id may have a text twice
     sets = staged(sets.join(wanted, ["doc_id", "h", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
     links = staged(verified(pairs, sets, like), "links")
@@ -147,6 +158,49 @@ def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, lik
     return links, sets
 
 
+def sided(rows: DataFrame, x: str, *on: str) -> DataFrame:
+    """``rows`` as side ``x`` of a join on the columns ``on``."""
+    return rows.select(*on, *(F.col(c).alias(f"{x}_{c}") for c in rows.columns if c not in on))
+
+
+def apart() -> Column:
+    """Whether keys a and b are of different components; of a pair in one order alone."""
+    return (F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c"))
+
+
+def crowds(heavy: DataFrame) -> DataFrame:
+    """Where the keys of ``heavy`` (s, key) meet if they share an s: ``whole`` and ``at`` of each
+    meeting, the ``hub`` and ``size`` of it, and each key that comes.
+
+    Copies of one text that differ here and there share many parts, so they would meet again
+    and again. The key of a part with the most heavy parts, which is the least changed copy
+    as a rule, is the part's hub: all that meet it at any of its parts come once to one
+    meeting, where that is no more work than a meeting a part."""
+    heavy = staged(heavy, "heavy")
+    weights = heavy.groupBy("key").agg(F.count("*").alias("w"))
+    hubs = staged(heavy.join(weights, "key").groupBy("s").agg(F.max(F.struct("w", "key"))["key"].alias("hub"), F.count("*").alias("met")), "hubs")
+    sizes = heavy.join(hubs, "s").select("hub", "key").distinct().groupBy("hub").agg(F.count("*").alias("n"))
+    work = hubs.groupBy("hub").agg(F.sum(F.col("met") * F.col("met")).alias("work"))
+    whole = F.col("n") * F.col("n") <= F.col("work")
+    # a row a part here, as a hub may have most of the keys
+    at = hubs.join(sizes.join(work, "hub"), "hub").select("s", whole.alias("whole"), F.when(whole, F.col("hub")).otherwise(F.col("s")).alias("at"), "hub", F.when(whole, F.col("n")).otherwise(F.col("met")).alias("size"))
+    at = heavy.join(at, "s").select("whole", "at", "hub", "size", "key")
+    out = staged(at.distinct(), "meetings")
+    discard(heavy, hubs)
+    return out
+
+
+def crowd_pairs(met: DataFrame, like: float) -> DataFrame:
+    """Pairs (a, b) of keys of different components that come to one meeting and can have the
+    similarity by sizes, parities and counts, compared as they meet. One side of a large
+    meeting is dealt in blocks, so that no task has it all."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    here = ("whole", "at", "block")
+    one = sided(met.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).drop("size"), "a", *here)
+    other = sided(met.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size"), "b", *here)
+    return one.join(other, list(here)).where(apart() & parity_alike(like) & counts_alike(like)).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+
 def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
     """doc_id and h (of the text, where one doc_id has several) of each distinct text's first
     row, and those of the first row that its links reach, ``first``: texts link where their
@@ -164,44 +218,47 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     first = F.min(F.struct("doc_id", "h"))
     once = (F.max(c).alias(c) for c in ("n", "fp", "counts", "odd0", "odd1"))  # the same for all rows of a key
     nodes = staged(found.groupBy("key").agg(first.alias("first"), *once).select("key", "n", "fp", "counts", "odd0", "odd1", "first.*"), "nodes")
+    settled(docs.sparkSession)
     close = close_pairs(nodes.select("key", "fp"))
-    # of the documents that meet at a part, each is held against three hubs
+    # of the documents that meet at a part, each is held against three hubs, or that of a crowd
     # (their parts are by far the largest table here, so they move only if there are many)
-    own = nodes.select("doc_id", "h", "key")
-    own = F.broadcast(own) if nodes.count() <= BROADCAST_ROWS else own
-    entries = found.join(own, ["doc_id", "h", "key"]).select("key", F.posexplode(F.arrays_zip("parts", "spare")).alias("level", "x"))
+    entries = among(found, nodes, "doc_id", "h", "key").select("key", F.posexplode(F.arrays_zip("parts", "spare")).alias("level", "x"))
     entries = entries.select("key", F.explode("x.parts").alias("s"), (2 * F.col("x.spare") + F.col("level")).alias("spare"))
+    settled(docs.sparkSession)
     bucket = Window.partitionBy("s")
     hub = F.struct(F.xxhash64(F.lit(1), "key").alias("h"), "key")
     every = entries.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket)).where("lo <> hi")
     every = staged(every.withColumn("mid", F.min(hub).over(bucket)["key"]).withColumn("heavy", F.count("*").over(bucket) > HEAVY), "hits")
     discard(found)
+    settled(docs.sparkSession)
     # parts that very many have go where enough others are left
     excess = every.where("heavy").groupBy("key", "spare").agg(F.count("*").alias("c")).where("c <= spare div 2").select("key", "spare")
-    hits = every.where("not heavy").unionByName(every.where("heavy").join(excess, ["key", "spare"], "left_anti"))
-    spokes = hits.select("key", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("to")).where("key <> to")
+    light = every.where("not heavy").select("s", "key", "lo", "mid", "hi")
+    full = crowds(every.where("heavy").join(excess, ["key", "spare"], "left_anti").select("s", "key"))
+    spokes = light.select("key", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("to"))
+    spokes = spokes.unionByName(full.select("key", F.col("hub").alias("to"))).where("key <> to")
     pairs = spokes.select(F.col("key").alias("a"), F.col("to").alias("b")).unionByName(close)
     pairs = possible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, like)
     links, sets = similar(staged(pairs, "pairs"), rows, nodes, width, like)
     near = components(links)
+    settled(docs.sparkSession)
     # then documents of different components against each other
-    once = named(hits.select("s", "key", "heavy", F.col("key").alias("c")), near)
-    once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "c", "heavy"), "once")
-    side = lambda rows, x: rows.select("s", *(F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "s"))
-    other = (F.col("a_key") < F.col("b_key")) & (F.col("a_c") != F.col("b_c"))
-    light = once.where("not heavy").select("s", "key", "c")
-    across = side(light, "a").join(side(light, "b"), "s").where(other)
-    # where many meet, sizes and parities are compared as they meet
-    full = once.where("heavy").select("s", "key", "c").join(nodes.select("key", "n", "odd0", "odd1"), "key")
-    crowd = side(full, "a").join(side(full, "b"), "s").where(other & parity_alike(like))
-    across = across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).unionByName(crowd.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+    once = named(light.select("s", "key", F.col("key").alias("c")), near)
+    once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "c"), "once")
+    across = sided(once, "a", "s").join(sided(once, "b", "s"), "s").where(apart()).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    met = named(full.select("whole", "at", "size", "key", F.col("key").alias("c")), near)
+    met = staged(met.join(nodes.select("key", "n", "counts", "odd0", "odd1"), "key"), "met")
+    across = across.unionByName(crowd_pairs(met, like))
     across = possible(across.distinct(), nodes, like)
-    more, more_sets = similar(staged(across, "pairs"), rows, nodes, width, like)
+    across = staged(across, "pairs")
+    settled(docs.sparkSession)
+    more, more_sets = similar(across, rows, nodes, width, like)
     far = components(named(named(more, near, "a"), near, "b"))
     roots = named(named(nodes.withColumn("c", F.col("key")), near), far)
     firsts = roots.groupBy("c").agg(first.alias("first"))
     out = staged(roots.join(firsts, "c").select("doc_id", "h", "first"), "copies")
-    discard(nodes, close, every, sets, links, near, once, more, more_sets, far)
+    settled(docs.sparkSession)
+    discard(nodes, close, every, full, met, sets, links, near, once, more, more_sets, far)
     return out
 
 

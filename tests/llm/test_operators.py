@@ -266,6 +266,28 @@ def test_near_copies(spark, docs, none):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == brute_kept(found)
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_crowd_of_near_copies(spark, block, monkeypatch):
+    """Many changed copies of one text on both sides of 0.8: a pair comes out of few meetings,
+    not of each part that it shares, and no link is lost."""
+    rnd = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    base, found = rnd.choices(words, k=400), []
+    for i in range(150):
+        own = list(base if i % 5 or not i else found[-1].split())
+        for _ in range(rnd.randrange(3, 14)):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        found.append(" ".join(own))
+    found = list(enumerate(found))
+    rows, made = spark.createDataFrame(found, "doc_id long, text string"), []
+    distinct = type(rows).distinct
+    monkeypatch.setattr(type(rows), "distinct", lambda self: (self.columns == ["a", "b"] and made.append(self.count())) or distinct(self))
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    kept = sorted(r.doc_id for r in simhash.keep_first(rows).collect())
+    assert kept == brute_kept(found) and 20 < len(kept) < 140
+    assert max(made) < 4 * 11175  # its pairs; 546,085 where they meet at each part
+
+
 @pytest.mark.parametrize("like", [0.8, 0.75, 0.95, 1.0])
 def test_sets_alike_meet_at_a_part(like):
     """Sets at the very least similarity, of all sizes, share a filed part."""
