@@ -125,7 +125,8 @@ def feature_list(value: Column, secret: Column, before: Column, after: Column, p
         number(value.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$")),
         known.coverage(value),
         F.length(F.regexp_replace(F.lower(value), "[^a-z]|(?<![a-z])[a-z]{1,4}(?![a-z])", "")) / n,
-        number(value.contains("/") | before.rlike(r"(?:[:/.@]|www)\S{0,30}$") & ~before.rlike(r"[:=]$") | after.rlike(r"^(?:/|\.[a-z]|@)") | F.lower(place).rlike("test|example|fixture|mock")),
+        # the body of a key block is base64, where a slash is no path
+        number(value.contains("/") & ~value.startswith("-----BEGIN ") | before.rlike(r"(?:[:/.@]|www)\S{0,30}$") & ~before.rlike(r"[:=]$") | after.rlike(r"^(?:/|\.[a-z]|@)") | F.lower(place).rlike("test|example|fixture|mock")),
         number(value.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|eyJ|-----BEGIN)")),
         number(ahead.rlike(rf"{SECRET_WORDS}\W{{0,6}}$")),
         number(before.rlike(r"[:=]\s*[\"']?$")),

@@ -428,6 +428,13 @@ def test_secrets_of_any_form(spark):
     assert [masked[10 + i] for i in range(4)] == [f"it has {v} of it" for v in ('password = "[SECRET]"', "api_key: '[SECRET]'", 'token="[SECRET]"', "pwd=[SECRET]")]
 
 
+def test_slash_in_a_key_block_is_no_path(spark):
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIE/p+Qx7/aZ\n-----END RSA PRIVATE KEY-----"
+    rows = spark.createDataFrame([(block, " "), ("src/main/aZ19", " "), (block, "https://x/")], "found string, before string")
+    x = secret_scan.features(F.col("found"), F.col("before"), F.lit("\n"), F.lit("web"), secret_scan.Lexicon([]))
+    assert [r.x[secret_scan.FEATURES.index("path")] for r in rows.select(x.alias("x")).collect()] == [0.0, 1.0, 1.0]
+
+
 def test_urls(spark):
     rnd, urls = random.Random(4), []
     for i in range(400):
