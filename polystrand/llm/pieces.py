@@ -117,10 +117,12 @@ class PieceTable:
         where = np.flatnonzero(brief)
         late = where[numbers[where] >= first]
         fresh[numbers[late] - first] = late
-        pieces = [bytes(data[a:b]) for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+        base = starts[0]  # the pieces stand in order
+        letters = data[base : ends[-1]].tobytes()
+        pieces = [letters[a:b] for a, b in zip((starts[fresh] - base).tolist(), (ends[fresh] - base).tolist(), strict=True)]
         new = [begins[fresh]]
         for k in np.flatnonzero(~brief).tolist():
-            piece = (bytes(data[starts[k] : ends[k]]), bool(begins[k]))
+            piece = (letters[starts[k] - base : ends[k] - base], bool(begins[k]))
             if piece not in self.long:
                 self.long[piece] = self.known
                 self.rows["length"][self.known] = LONG

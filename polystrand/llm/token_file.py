@@ -21,8 +21,11 @@ size; an empty table gives an empty file.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK
+from .bpe import CHUNK, LATIN_END_POINT, byte_letters
 from .common import shuffle_partitions, small_batches, staged, trimmed
 from .pieces import SLICE, PieceTable, buffers
 
@@ -49,6 +52,13 @@ ONE, LOW_WORD = np.uint64(1), np.uint64(0xFFFF)
 BOTTOM_MASK = np.uint64((1 << 32) - 1)
 #: Pieces that go to the library as one text, and that are remembered.
 JOINED, REMEMBERED = 64, 1_400_000
+#: Latin words that are remembered, each of at most ``JOINED`` letters.
+REMEMBERED_WORDS = 400_000
+#: The words that the library's byte-level pattern makes of Latin text.
+SPACES = " \t\n\r\f\v\x85\xa0"
+LATIN = {c: "".join(ch for ch in map(chr, range(0x30, LATIN_END_POINT)) if unicodedata.category(ch)[0] == c) for c in "LN"}
+LATIN_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LATIN['L']}]+| ?[{LATIN['N']}]+| ?[^{SPACES}{LATIN['L']}{LATIN['N']}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+BEYOND_LATIN = re.compile(f"[^\0-{chr(LATIN_END_POINT - 1)}]")
 #: Ids after which a block is closed at the next document.
 BLOCK_IDS = 1 << 20
 
@@ -56,16 +66,19 @@ BLOCK_IDS = 1 << 20
 class Mixer:
     """The model that encoder and decoder run in step."""
 
-    def __init__(self, vocab: int, lanes: int):
+    def __init__(self, vocab: int, lanes: int, steps: int):
         self.vocab = vocab
+        # of 32 bits while all counts together fit, as these are read at random
+        small = vocab + STEP * lanes * steps < 1 << 31
+        self.cumulative = np.arange(vocab + 1, dtype=np.int32 if small else np.int64)
         self.counts = np.ones(vocab, dtype=np.int64)
-        self.cumulative = np.arange(vocab + 1, dtype=np.int64)
         self.total = vocab
         self.seen: list[np.ndarray] = []
         # an entry holds the id that came next, times LEVELS, and how sure it is
         self.after1, self.after2 = np.zeros(vocab, dtype=np.int32), np.zeros(1 << SLOT_BITS, dtype=np.int32)
         self.right2, self.right1, self.wrong = (np.full(KINDS, x, dtype=np.int64) for x in (2, 2, 16))
-        self.previous, self.slot = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
+        self.last = np.zeros(lanes, dtype=np.int32)
+        self.previous, self.slot = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each lane the order-2 and order-1 ids, and the ends of their parts."""
@@ -86,12 +99,13 @@ class Mixer:
         for table, at, entry, was in ((self.after2, self.slot, self.entry2, was2), (self.after1, self.previous, self.entry1, was1)):
             sure = entry & (LEVELS - 1)
             table[at] = np.where(was, entry + (sure < LEVELS - 1), np.where(sure > 0, entry - 1, fresh))
-        self.slot = (self.previous * PREVIOUS_FACTOR + ids * ID_FACTOR) >> 5 & ((1 << SLOT_BITS) - 1)
-        self.previous = ids
+        # the factors wrap at 32 bits; places are of 64, which arrays take as they are
+        self.slot = ((self.last * PREVIOUS_FACTOR + ids * ID_FACTOR) >> 5 & ((1 << SLOT_BITS) - 1)).astype(np.int64)
+        self.last, self.previous = ids, ids.astype(np.int64)
         self.seen.append(ids)
         if len(self.seen) == REFRESH:
             self.counts += STEP * np.bincount(np.concatenate(self.seen), minlength=self.vocab)
-            np.cumsum(self.counts, out=self.cumulative[1:])
+            np.cumsum(self.counts, dtype=self.cumulative.dtype, out=self.cumulative[1:])
             self.total = int(self.cumulative[-1])
             self.seen = []
 
@@ -119,8 +133,13 @@ def settle(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
             span[at] = (~low[at] + ONE) & BOTTOM_MASK
         lanes = due if lanes is None else lanes[due]
         yield lanes
-        low[lanes] <<= WORD
-        span[lanes] <<= WORD
+        if a is low:  # all lanes: shifts of 16 or none
+            by = (same | short) * WORD
+            low <<= by
+            span <<= by
+        else:
+            low[lanes] = low.take(lanes) << WORD
+            span[lanes] = span.take(lanes) << WORD
 
 
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
@@ -134,7 +153,7 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     grid = np.zeros(lanes * steps, dtype=np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = Mixer(vocab, lanes)
+    model = Mixer(vocab, lanes, steps)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     words, owners = [], []
     for now in grid:
@@ -168,7 +187,7 @@ def decode_block(block: bytes) -> np.ndarray:
             raise ValueError("not a block")
         lanes, steps = lanes_of(n)
         sizes = np.frombuffer(zlib.decompress(block[HEADER.size : HEADER.size + size]), dtype="<u4").astype(np.int64)
-        words = np.frombuffer(block, dtype="<u2", offset=HEADER.size + size).astype(np.uint64)
+        words = np.frombuffer(block[HEADER.size + size :], dtype="<u2")
         if len(sizes) != lanes or sizes.sum() != len(words):
             raise ValueError("a block's lanes are cut short")
         ids = decode_lanes(words, sizes, vocab, steps)[:n]
@@ -181,7 +200,7 @@ def decode_block(block: bytes) -> np.ndarray:
 
 def decode_lanes(words: np.ndarray, sizes: np.ndarray, vocab: int, steps: int) -> np.ndarray:
     lanes = len(sizes)
-    model = Mixer(vocab, lanes)
+    model = Mixer(vocab, lanes, steps)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     at = np.cumsum(sizes) - sizes
     code = np.zeros(lanes, dtype=np.uint64)
@@ -196,18 +215,19 @@ def decode_lanes(words: np.ndarray, sizes: np.ndarray, vocab: int, steps: int) -
         value = np.minimum(((code - low) // span).view(np.int64), parts - 1)
         now = np.where(value < part2, id2, id1)
         open_ = np.flatnonzero(value >= rest)
-        # in the order of values the search is quicker
-        count = value[open_] - rest[open_]
-        order = np.argsort(count)
-        now[open_[order]] = np.searchsorted(model.cumulative, count[order], side="right") - 1
+        # about in the order of values the search is quicker, and of 16 bits it is a radix sort
+        count = (value.take(open_) - rest.take(open_)).astype(model.cumulative.dtype)
+        order = np.argsort((count >> max(model.total.bit_length() - 16, 0)).astype(np.uint16), kind="stable")
+        now[open_.take(order)] = model.cumulative.searchsorted(count.take(order), side="right") - 1
         is2, is1 = now == id2, now == id1
         start = np.where(is2, 0, np.where(is1, part2, rest + model.cumulative.take(now)))
         width = np.where(is2, part2, np.where(is1, rest - part2, model.counts.take(now)))
         low += start.view(np.uint64) * span
         span *= width.view(np.uint64)
         for due in settle(low, span):
-            code[due] = (code[due] << WORD) | words[np.minimum(at[due], len(words) - 1)]
-            at[due] += 1
+            place = at.take(due)
+            code[due] = (code.take(due) << WORD) | words.take(place, mode="clip")
+            at[due] = place + 1
         grid[t] = now
         model.learn(now, is2, is1)
     return np.ascontiguousarray(grid.T).reshape(-1)
@@ -216,9 +236,10 @@ def decode_lanes(words: np.ndarray, sizes: np.ndarray, vocab: int, steps: int) -
 class PieceEncoder(PieceTable):
     """The tokenizers library over pieces: with a byte-level vocabulary a text splits for
     certain before each blank that a visible character follows, so pieces are encoded
-    once, in batches, and put together by number. Texts with other white space or an added
-    token after a blank go through the library whole."""
-
+    once and put together by number. Latin pieces are split into the library's words by its
+    own pattern, and its model encodes each distinct word; the library takes other pieces in
+    batches. Texts with other white space or an added token after a blank go through the
+    library whole."""
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -232,8 +253,36 @@ class PieceEncoder(PieceTable):
         for token, i in named.items():  # each letter of a token is a byte
             self.bytes_of[i] = len(token)
         self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.model, self.letters, self.words = self.library.model, {**dict(enumerate(byte_letters())), 0xFF: " "}, {}
+        # first letters that a piece to be joined may not have, or may not always
+        self.doubtful = {"", *(c for c in map(chr, range(0x110000)) if c.isspace()), *(a[:1] for a in self.added)}
         super().__init__(limit)
 
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids that the library's model gives each word, as bytes."""
+        # a byte that no text holds parts the words, and becomes the blank that no letter is
+        joined = "\udcff".join(words).encode("utf-8", "surrogateescape").decode("latin-1")
+        found = [[t.id for t in self.model.tokenize(w)] for w in joined.translate(self.letters).split(" ")]
+        ends = np.cumsum([4 * len(ids) for ids in found]).tolist()
+        raw = array("I", chain.from_iterable(found)).tobytes()
+        return (raw[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+    def encode_latin(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_pieces``, for Latin pieces without an added token. A blank is the first
+        letter of a piece's first word, and nowhere else."""
+        found = LATIN_WORDS.findall(" " + " ".join(pieces))
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        fresh = [*set(found).difference(self.words)]
+        if fresh:
+            self.words.update(zip(fresh, self.encode_words(fresh), strict=True))
+        raw = [*map(self.words.__getitem__, found)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        last = np.flatnonzero(np.fromiter((w[0] == " " for w in found), bool, len(found)))[1:] - 1
+        for w in filter(lambda w: len(w) > JOINED, fresh):
+            del self.words[w]
+        return np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes)[np.append(last, len(raw) - 1)]
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, a blank before each, end to end, and where each piece's end.
         Pieces are joined to texts of ``JOINED``, as the library spends much on each text;
@@ -248,19 +297,25 @@ class PieceEncoder(PieceTable):
     def learn(self, first: int, pieces: list[str], begins: np.ndarray) -> None:
         """Stores the ids of ``pieces``, numbered from ``first`` on; ``begins``: the piece
         stands at a text's start, without a blank."""
-        odd = np.array([not p or p[0].isspace() or p.startswith(self.added) for p in pieces], dtype=bool) & ~begins
-        usual = np.flatnonzero(~odd & ~begins).tolist()
+        odd = np.array([p[:1] in self.doubtful for p in pieces], dtype=bool) & ~begins
+        for k in np.flatnonzero(odd).tolist():
+            odd[k] = not pieces[k] or pieces[k][0].isspace() or pieces[k].startswith(self.added)
+        latin = np.array([p.isascii() or not BEYOND_LATIN.search(p) for p in pieces], dtype=bool)
+        for a in self.added:
+            latin &= np.array([a not in p for p in pieces], dtype=bool)
         sizes = np.zeros(len(pieces), dtype=np.int64)
         places = np.zeros(len(pieces), dtype=np.int64)
         starting = [e.ids for e in self.library.encode_batch_fast([pieces[k] for k in np.flatnonzero(begins).tolist()], add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(starting), "<u4", count=sum(map(len, starting)))
         sizes[begins] = [*map(len, starting)]
         places[begins] = np.cumsum(sizes[begins]) - sizes[begins]
-        if usual:
-            others, ends = self.encode_pieces([pieces[k] for k in usual])
-            sizes[usual] = np.diff(ends, prepend=0)
-            places[usual] = len(ids) + ends - sizes[usual]
-            ids = np.concatenate([ids, others])
+        for kind, encode in ((latin, self.encode_latin), (~latin, self.encode_pieces)):
+            own = np.flatnonzero(kind & ~odd & ~begins)
+            if len(own):
+                others, ends = encode([pieces[k] for k in own.tolist()])
+                sizes[own] = np.diff(ends, prepend=0)
+                places[own] = len(ids) + ends - sizes[own]
+                ids = np.concatenate([ids, others])
         self.store(first, ids, places, sizes, odd)
 
     def encode_many(self, texts: list[str | None] | pa.Array) -> Iterator[np.ndarray]:

@@ -631,3 +631,18 @@ def test_piece_encoder_matches_the_library():
         for text, ids in zip(part, own.encode_many(part), strict=True):
             assert ids.tolist() == own.library.encode(text or "", add_special_tokens=False).ids
     assert own.known < 20 + token_file.SLICE
+
+
+def test_latin_words_are_the_library_s_and_encoded_once():
+    own, library = token_file.PieceEncoder(BYTE), Tokenizer.from_file(BYTE)
+    texts = [t for c in map(chr, range(bpe.LATIN_END_POINT)) for t in (f"a {c}b1{c}{c}.", f"x a{c}\n{c} '{c}s {c}'s", f"a\n\n{c} it{c}'ll'd\n\n\nb<")]
+    texts += ["a b<|endoftext|>c d<|endoftext|>", "a b<c d<|end e", "a \u0180b \u65e5b c\u0301d", f"a {'xy' * 500} {'xy' * 500}"]
+    for text, ids in zip(texts, own.encode_many(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    seen = []
+    encode, own.encode_pieces = own.encode_words, None
+    own.encode_words = lambda words: seen.extend(words) or encode(words)
+    texts = ["a zwofz,", "a zwofz.\nQr zwofz;", "a zwofz,;"]
+    for text, ids in zip(texts, own.encode_many(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert seen.count(" zwofz") == 1 and len(seen) == len(set(seen))
