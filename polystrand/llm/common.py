@@ -72,6 +72,13 @@ def settled(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that stays distributed. Spark sizes a table by its compressed
+    files, and an exploded one as before the explode, so a threshold for broadcasts does not
+    bound what the driver must hold; tables that grow with the input are joined by sorting."""
+    return df.hint("merge")
+
+
 def quoted(name: str) -> str:
     """A column name with any characters, as a reference to that column."""
     return f"`{name.replace('`', '``')}`"

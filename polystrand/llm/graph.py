@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, spread, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,16 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = edges.groupBy("a").agg(F.min(rank("b")).alias("m"))
         choice = staged(nearest.select("a", F.least("m", rank("a"))["n"].alias("to")), "choice")
         onward = choice.select(F.col("a").alias("to"), F.col("to").alias("root"))
-        step = staged(choice.join(onward, "to").select(F.col("a").alias("node"), "root"), "step")
+        step = staged(choice.join(spread(onward), "to").select(F.col("a").alias("node"), "root"), "step")
         if names is None:
             renamed = staged(step, "names")
         else:
             later = step.select(F.col("node").alias("root"), F.col("root").alias("later"))
-            renamed = staged(names.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root")), "names")
+            renamed = staged(names.join(spread(later), "root", "left").select("node", F.coalesce("later", "root").alias("root")), "names")
             discard(names)
         left = step.select(F.col("node").alias("a"), F.col("root").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        fewer = edges.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        fewer = edges.join(spread(left), "a").join(spread(right), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         fewer = staged(fewer, "edges")
         discard(edges, choice, step)
         edges, names, turn = fewer, renamed, turn + 1

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, settled, small_batches, staged, trimmed
+from .common import discard, free_name, settled, small_batches, spread, staged, trimmed
 from .graph import components
 from .shingles import HEAVY, LIKE, WIDTH, counts_alike, filed_parts, majority, parity_alike, possible, verified, whole_sets
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def named(rows: DataFrame, roots: DataFrame, column: str = "c") -> DataFrame:
     """``rows`` with ``column`` replaced by its root, where it has one."""
     to = roots.select(F.col("node").alias(column), "root")
-    return rows.join(to, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
+    return rows.join(spread(to), column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
@@ -94,8 +94,8 @@ def far_matches(nodes: DataFrame) -> DataFrame:
     probes = table.select(F.col("fp").alias("pfp"), F.col("c").alias("pc"), "s", F.explode(ball).alias("v"))
     buckets = table.groupBy("s", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     # a probe goes on only if its bucket holds another component
-    hits = probes.join(buckets, ["s", "v"]).where("lo <> pc or hi <> pc").select("s", "v", "pfp", "pc")
-    return hits.join(table, ["s", "v"]).where((F.col("c") != F.col("pc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= RADIUS))
+    hits = probes.join(spread(buckets), ["s", "v"]).where("lo <> pc or hi <> pc").select("s", "v", "pfp", "pc")
+    return hits.join(spread(table), ["s", "v"]).where((F.col("c") != F.col("pc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= RADIUS))
 
 
 def far_links(nodes: DataFrame) -> DataFrame:
@@ -111,23 +111,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = components(near_links(nodes))
     once = staged(named(nodes.select("fp", F.col("fp").alias("c")), near), "once")
     far = components(far_links(once))
-    roots = named(once, far).join(nodes, "fp")
+    roots = named(once, far).join(spread(nodes), "fp")
     firsts = roots.groupBy("c").agg(F.min("first").alias("component_id"))
-    classes = staged(roots.join(firsts, "c").select("fp", "component_id"), "classes")
+    classes = staged(roots.join(spread(firsts), "c").select("fp", "component_id"), "classes")
     discard(near, far, once, nodes)
-    return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.join(spread(classes), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def close_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys that fingerprints bring together: of ``nodes`` (key, fp) those with
     one fingerprint, or linked ones. Each is to be verified."""
     marks = staged(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "marks")
-    same = nodes.join(marks, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    same = nodes.join(spread(marks), "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     near = staged(near_links(marks.select("fp")), "near")
     roots = components(near)
     far = far_matches(named(marks.select("fp", F.col("fp").alias("c")), roots)).select(F.col("pfp").alias("a"), F.col("fp").alias("b"))
     rep = lambda x: marks.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_rep"))
-    linked = near.unionByName(far).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    linked = near.unionByName(far).join(spread(rep("a")), "a").join(spread(rep("b")), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     out = staged(same.unionByName(linked).where("a <> b"), "pairs")
     discard(marks, near, roots)
     return out
@@ -148,11 +148,11 @@ def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, lik
     """Of staged ``pairs`` (a, b) of keys those whose texts have the similarity, and the sets
     that were read for it: of these texts alone."""
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = staged(nodes.join(asked, "key").select("doc_id", "h", "key"), "wanted")
+    wanted = staged(nodes.join(spread(asked), "key").select("doc_id", "h", "key"), "wanted")
     # few documents are asked for: so texts move only if there are many
     sets = whole_sets(among(rows, wanted, "doc_id", "h"), width)
     # one doc_id may have a text twice
-    sets = staged(sets.join(wanted, ["doc_id", "h", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
+    sets = staged(sets.join(spread(wanted), ["doc_id", "h", "key"], "left_semi").dropDuplicates(["key"]).select("key", "set"), "sets")
     links = staged(verified(pairs, sets, like), "links")
     discard(pairs, wanted)
     return links, sets
@@ -178,13 +178,13 @@ def crowds(heavy: DataFrame) -> DataFrame:
     meeting, where that is no more work than a meeting a part."""
     heavy = staged(heavy, "heavy")
     weights = heavy.groupBy("key").agg(F.count("*").alias("w"))
-    hubs = staged(heavy.join(weights, "key").groupBy("s").agg(F.max(F.struct("w", "key"))["key"].alias("hub"), F.count("*").alias("met")), "hubs")
-    sizes = heavy.join(hubs, "s").select("hub", "key").distinct().groupBy("hub").agg(F.count("*").alias("n"))
+    hubs = staged(heavy.join(spread(weights), "key").groupBy("s").agg(F.max(F.struct("w", "key"))["key"].alias("hub"), F.count("*").alias("met")), "hubs")
+    sizes = heavy.join(spread(hubs), "s").select("hub", "key").distinct().groupBy("hub").agg(F.count("*").alias("n"))
     work = hubs.groupBy("hub").agg(F.sum(F.col("met") * F.col("met")).alias("work"))
     whole = F.col("n") * F.col("n") <= F.col("work")
     # a row a part here, as a hub may have most of the keys
-    at = hubs.join(sizes.join(work, "hub"), "hub").select("s", whole.alias("whole"), F.when(whole, F.col("hub")).otherwise(F.col("s")).alias("at"), "hub", F.when(whole, F.col("n")).otherwise(F.col("met")).alias("size"))
-    at = heavy.join(at, "s").select("whole", "at", "hub", "size", "key")
+    at = hubs.join(spread(sizes.join(spread(work), "hub")), "hub").select("s", whole.alias("whole"), F.when(whole, F.col("hub")).otherwise(F.col("s")).alias("at"), "hub", F.when(whole, F.col("n")).otherwise(F.col("met")).alias("size"))
+    at = heavy.join(spread(at), "s").select("whole", "at", "hub", "size", "key")
     out = staged(at.distinct(), "meetings")
     discard(heavy, hubs)
     return out
@@ -247,7 +247,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     once = staged(once.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo <> hi").select("s", "key", "c"), "once")
     across = sided(once, "a", "s").join(sided(once, "b", "s"), "s").where(apart()).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
     met = named(full.select("whole", "at", "size", "key", F.col("key").alias("c")), near)
-    met = staged(met.join(nodes.select("key", "n", "counts", "odd0", "odd1"), "key"), "met")
+    met = staged(met.join(spread(nodes.select("key", "n", "counts", "odd0", "odd1")), "key"), "met")
     across = across.unionByName(crowd_pairs(met, like))
     across = possible(across.distinct(), nodes, like)
     across = staged(across, "pairs")
@@ -256,7 +256,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> D
     far = components(named(named(more, near, "a"), near, "b"))
     roots = named(named(nodes.withColumn("c", F.col("key")), near), far)
     firsts = roots.groupBy("c").agg(first.alias("first"))
-    out = staged(roots.join(firsts, "c").select("doc_id", "h", "first"), "copies")
+    out = staged(roots.join(spread(firsts), "c").select("doc_id", "h", "first"), "copies")
     settled(docs.sparkSession)
     discard(nodes, close, every, full, met, sets, links, near, once, more, more_sets, far)
     return out
@@ -269,5 +269,5 @@ def keep_first(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataF
     kept = similar_groups(docs, width, like).where(F.struct("doc_id", "h") == F.col("first")).select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
     h = free_name(docs, "h")
     rows = docs.where(docs["doc_id"].isNotNull()).withColumn(h, F.xxhash64(docs["text"].cast("string")))
-    rows = rows.join(kept, (rows["doc_id"].cast("long") == kept["kept_id"]) & (rows[h] == kept["kept_h"]), "left_semi")
+    rows = rows.join(spread(kept), (rows["doc_id"].cast("long") == kept["kept_id"]) & (rows[h] == kept["kept_h"]), "left_semi")
     return rows.dropDuplicates(["doc_id", h]).drop(h).unionByName(docs.where(docs["doc_id"].isNull()))

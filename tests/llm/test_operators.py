@@ -194,6 +194,19 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_broadcasts_nothing(docs, monkeypatch):
+    plans = []
+
+    def noted(df, label, write=simhash.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "staged", noted)
+    monkeypatch.setattr(graph, "staged", noted)
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_links_of_all_distances(spark):
     rnd = random.Random(9)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
