@@ -106,8 +106,9 @@ def stats_json(spark, sf_dir):
 
 @registered
 def stats_text(spark, sf_dir):
+    """Figures of the report's text, without the commas between thousands."""
     text = report.stats_text(cut(fx.eds_orders(spark, sf_dir)))
-    line = lambda k: F.trim(F.substring(F.split("text", "\n")[k], 33, 12))
+    line = lambda k: F.regexp_replace(F.substring_index(F.split("text", "\n")[k], " ", -1), ",", "")
     return text.select("eds_id", line(2).alias("n"), line(3).alias("chars"), line(10).alias("avg_ctx"))
 
 

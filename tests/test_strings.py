@@ -99,6 +99,37 @@ def test_reports(spark):
     assert [r[0] for r in sizes] == ["0.0 B", "1023.0 B", "1.0 KB", "1.5 KB", "5.0 GB", "3072.0 TB"] and sizes[3][1] == "1,536"
 
 
+def test_figures_as_the_reference_prints_them(spark):
+    rnd = random.Random(3)
+    values = [0.0, 2.125, 2.375, 0.125, 2.005, 1.015, 0.285, 2.675, 0.005, 0.995, 9.995, 1e-9, 123456789.125, *(rnd.random() * 10 ** rnd.randrange(-3, 9) for _ in range(500)), *(rnd.randrange(10**5) / 8 for _ in range(100))]
+    found = spark.createDataFrame([(x,) for x in values], "x double").select("x", report.fixed(F.col("x"), 2), report.fixed(F.col("x"), 1)).collect()
+    assert [tuple(r) for r in found] == [(x, f"{x:.2f}", f"{x:.1f}") for x in values]
+
+
+def against_sql(spark, path, name):
+    """Rows of a query and of its SQL over the tables in ``path``."""
+    import duckdb
+
+    from polystrand.plans.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for f in os.listdir(path):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{path}/{f}{'/*.parquet' if os.path.isdir(f'{path}/{f}') else ''}')")
+    df = QUERIES[name](spark, str(path))
+    want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in df.columns)} FROM ({ORACLES[name]})").fetchall()
+    shown = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    return shown(df.collect()), shown(want)
+
+
+def test_large_strings_against_sql(spark, tmp_path):
+    lines = lambda o: 1 if o % 3 == 0 else 4
+    spark.range(1200).selectExpr("id o_orderkey", "1 + id % 2 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = [(o, n, o * 7 + n * 3, o % 11) for o in range(1200) for n in range(lines(o))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, want = against_sql(spark, tmp_path, "stats_text")
+    assert found == want and int(found[0][2]) >= 1000
+
+
 def brute_leds(parts, least, linear):
     """Merges the leftmost breaking pairs, round by round, on plain lists of (text, paths)."""
 
