@@ -10,6 +10,8 @@ from ..session import cut
 
 #: Positions of one stretch of variants.
 STRETCH = 1 << 16
+#: Letters of one piece of a reference text.
+PIECE = 4096
 
 
 def parse_fasta(texts: DataFrame) -> DataFrame:
@@ -54,6 +56,7 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def statistics(variants: DataFrame) -> DataFrame:
     n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    variants = cut(variants.select("vcf_id", "line_no", "status", "pos", "ref"))
     counts = variants.where("status <> 'HEADER'").groupBy("vcf_id").agg(F.count("*").alias("total"), n("NONE").alias("processed"), n("MALFORMED").alias("malformed"), n("UNSUPPORTED_SV").alias("unsupported"))
     found = groups(variants).groupBy("vcf_id").agg(F.countDistinct("group_no").alias("groups"))
     return counts.join(found, "vcf_id", "left").withColumn("groups", F.coalesce("groups", F.lit(0)))
@@ -69,7 +72,9 @@ def groups(variants: DataFrame) -> DataFrame:
     ones are a group. Both the farthest end so far and the number of the group are found
     within stretches of positions, then over stretches, so that one long sequence has many
     tasks."""
-    rows = variants.where("status = 'NONE'").withColumn("begin", F.col("pos") - 1).withColumn("end", F.col("pos") - 1 + F.length("ref")).withColumn("_part", F.floor(F.col("pos") / STRETCH))
+    # read four times
+    rows = cut(variants.where("status = 'NONE'"))
+    rows = rows.withColumn("begin", F.col("pos") - 1).withColumn("end", F.col("pos") - 1 + F.length("ref")).withColumn("_part", F.floor(F.col("pos") / STRETCH))
     by = Window.partitionBy("vcf_id", "_part").orderBy("pos", "line_no")
     over = Window.partitionBy("_vcf").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -84,20 +89,39 @@ def groups(variants: DataFrame) -> DataFrame:
     return rows.withColumn("group_no", F.sum("_new").over(by) + F.coalesce("_b", F.lit(0)) - 1).drop("_new", "_reach", "_b", "_part")
 
 
+def texts_between(ranges: DataFrame, fasta: DataFrame) -> DataFrame:
+    """``ranges`` (vcf_id, begin, end: half-open, from 0, no two with one begin) with ``span``,
+    their part of the reference text. The text is cut into pieces, so a range costs what it
+    covers and not its distance from the start of the text."""
+    # a begin before the first letter counts as the first
+    first = F.greatest("begin", F.lit(0))
+    last = first + F.col("end") - F.col("begin") - 1
+    pieces = fasta.select("vcf_id", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("_piece", "_text"))
+    asked = ranges.select("vcf_id", "begin", first.alias("_first"), last.alias("_last")).where("_last >= _first")
+    asked = asked.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_first") / PIECE), F.floor(F.col("_last") / PIECE))))
+    at = F.greatest(F.col("_first") - F.col("_piece") * PIECE, F.lit(0))
+    upto = F.least(F.col("_last") - F.col("_piece") * PIECE, F.lit(PIECE - 1))
+    text = F.substring(F.col("_text"), (at + 1).cast("int"), (upto - at + 1).cast("int"))
+    found = asked.join(pieces.hint("merge"), ["vcf_id", "_piece"]).select("vcf_id", "begin", F.struct("_piece", text.alias("t")).alias("x"))
+    found = found.groupBy("vcf_id", "begin").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("span"))
+    return ranges.join(found.hint("merge"), ["vcf_id", "begin"], "left").withColumn("span", F.coalesce("span", F.lit("")))
+
+
 def haplotypes(variants: DataFrame, fasta: DataFrame) -> DataFrame:
     """vcf_id, group_no, begin, end, hap, first (its order), samples: the distinct texts of
     each group; alternatives are applied to the reference span one at a time."""
-    rows = groups(variants)
+    rows = cut(groups(variants).join(fasta.select("vcf_id"), "vcf_id"))
     of = Window.partitionBy("vcf_id", "group_no")
-    rows = rows.withColumn("gb", F.min("begin").over(of)).withColumn("ge", F.max("end").over(of)).withColumn("v", F.row_number().over(of.orderBy("pos", "line_no")))
+    spans = rows.groupBy("vcf_id", "group_no").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = texts_between(spans, fasta).select("vcf_id", "group_no", F.col("begin").alias("gb"), F.col("end").alias("ge"), "span")
+    rows = rows.withColumn("v", F.row_number().over(of.orderBy("pos", "line_no")))
     rows = rows.withColumn("n", F.first(F.size("gts")).over(of.orderBy("pos", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.join(fasta.select("vcf_id", "seq"), "vcf_id")
-    span = F.expr("substring(seq, cast(gb + 1 as int), cast(ge - gb as int))")
-    rows = rows.withColumn("span", span)
+    rows = rows.join(spans.hint("merge"), ["vcf_id", "group_no"])
     at = (F.col("begin") - F.col("gb")).cast("int")
     applied = lambda alt: F.concat(F.substring(F.col("span"), F.lit(1), at), alt, F.substring(F.col("span"), at + F.length("ref") + 1, F.length("span")))
-    haps = rows.withColumn("haps", F.concat(F.array("span"), F.transform("alts", applied)))
-    haps = haps.select("vcf_id", "group_no", "gb", "ge", "v", "n", "span", "haps", "gts")
+    haps = F.concat(F.array("span"), F.transform("alts", applied))
+    haps = rows.select("vcf_id", "group_no", "gb", "ge", "v", "n", "span", haps.alias("haps"), "gts")
+    haps = cut(haps)  # read three times
     named = haps.select("vcf_id", "group_no", "gb", "ge", "n", "v", F.posexplode("haps").alias("a", "hap"))
     # the reference text comes first, then (variant, alternative)
     named = named.groupBy("vcf_id", "group_no", "gb", "ge", "n", "hap").agg(F.min(F.when(F.col("a") == 0, F.struct(F.lit(0).alias("v"), F.lit(0).alias("a"))).otherwise(F.struct(F.col("v").alias("v"), F.col("a").alias("a")))).alias("first"))
@@ -119,15 +143,17 @@ def to_symbols(variants: DataFrame, fasta: DataFrame) -> DataFrame:
     carried haplotypes."""
     alts = F.array_sort(F.collect_list(F.struct("first", "hap", "samples")))
     fasta = cut(fasta.select("vcf_id", "seq"))
-    found = haplotypes(cut(variants.where("status = 'NONE'")), fasta).groupBy("vcf_id", "group_no", "begin", "end").agg(alts.alias("x"))
+    found = haplotypes(variants, fasta).groupBy("vcf_id", "group_no", "begin", "end").agg(alts.alias("x"))
     found = found.select("vcf_id", "begin", "end", F.transform("x", lambda a: F.struct(a["hap"].alias("s"), a["samples"].alias("src"))).cast(ALTS).alias("alts"))
     found = cut(found)
     by = Window.partitionBy("vcf_id").orderBy("begin")
     before = found.select("vcf_id", F.coalesce(F.lag("end").over(by), F.lit(0)).alias("from"), F.col("begin").alias("to"))
     last = fasta.select("vcf_id", F.length("seq").cast("long").alias("to")).join(found.groupBy("vcf_id").agg(F.max("end").alias("from")), "vcf_id", "left").select("vcf_id", F.coalesce("from", F.lit(0)).alias("from"), "to")
-    gaps = before.unionByName(last).where("to > from").join(fasta.select("vcf_id", "seq"), "vcf_id")
-    text = F.expr("substring(seq, cast(`from` + 1 as int), cast(`to` - `from` as int))")
-    gaps = gaps.select("vcf_id", F.col("from").alias("begin"), F.array(F.struct(text.alias("s"), F.array(F.lit(0)).alias("src"))).cast(ALTS).alias("alts"), F.lit(0).alias("o")).where(F.col("alts")[0]["s"] != "")
+    gaps = before.unionByName(last).where("to > from").select("vcf_id", F.col("from").alias("begin"), F.col("to").alias("end"))
+    # a call may lie beyond the end of the text
+    gaps = gaps.join(fasta.select("vcf_id", F.length("seq").cast("long").alias("_n")), "vcf_id").withColumn("end", F.least("end", "_n")).drop("_n")
+    gaps = texts_between(gaps.where("end > begin"), fasta).where("span <> ''")
+    gaps = gaps.select("vcf_id", "begin", F.array(F.struct(F.col("span").alias("s"), F.array(F.lit(0)).alias("src"))).cast(ALTS).alias("alts"), F.lit(0).alias("o"))
     rows = gaps.unionByName(found.select("vcf_id", "begin", "alts", F.lit(1).alias("o")))
     place = F.row_number().over(Window.partitionBy("vcf_id").orderBy("begin", "o")) - 1
     return rows.select(F.col("vcf_id").alias("eds_id"), place.cast("long").alias("pos"), "alts")

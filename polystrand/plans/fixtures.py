@@ -72,16 +72,18 @@ def fasta_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vcf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines (vcf_id, line_no, line): a header, and a variant at every fifth part key."""
-    from ..operators.vcf import parse_fasta
-
-    rows = part_columns(spark, sf_dir).where("p % 5 = 0").join(parse_fasta(fasta_parts(spark, sf_dir)), F.col("p_brand") == F.col("vcf_id"))
+    by = Window.partitionBy("p_brand").orderBy("p")
+    ch = base(F.col("p"))
+    # the letters from its own place on, which are those of the reference text there
+    near = F.concat(ch, F.coalesce(F.lead(ch, 1).over(by), F.lit("")), F.coalesce(F.lead(ch, 2).over(by), F.lit("")))
+    rows = part_columns(spark, sf_dir).withColumn("near", near).where("p % 5 = 0 and p_brand is not null").withColumnRenamed("p_brand", "vcf_id")
     p, kind = F.col("p"), F.col("size") % 6
-    ref = F.expr("substring(seq, rk, cast(1 + size % 3 as int))")
-    rows = rows.withColumn("ref", ref)
+    rows = rows.withColumn("ref", F.expr("substring(near, 1, cast(1 + size % 3 as int))"))
     alt = F.when(kind == 0, base(p + 1)).when(kind == 1, "<DEL>").when(kind == 2, F.concat("ref", F.lit("GT"))).when(kind == 3, F.concat(base(p + 1), F.lit(","), base(p + 2))).when(kind == 4, "<INS>").otherwise("<INV>")
     n = F.when(kind == 3, 2).otherwise(1)
     gts = [F.concat(((p + 3 * k) % (n + 1)).cast("string"), F.lit("|"), ((p + k) % 2).cast("string")) for k in range(4)]
     line = F.concat_ws("\t", F.lit("chr1"), F.col("rk").cast("string"), F.lit("."), "ref", alt, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), *gts)
     lines = rows.select("vcf_id", F.col("p").alias("line_no"), line.alias("line"))
-    head = rows.select("vcf_id").distinct().select("vcf_id", F.lit(-1).cast("long").alias("line_no"), F.lit("##fileformat=VCFv4.2").alias("line"))
+    with_lines = table(spark, sf_dir, "part").where("p_partkey % 5 = 0 and p_brand is not null").select(F.col("p_brand").alias("vcf_id")).distinct()
+    head = with_lines.select("vcf_id", F.lit(-1).cast("long").alias("line_no"), F.lit("##fileformat=VCFv4.2").alias("line"))
     return lines.unionByName(head)

@@ -267,6 +267,23 @@ def test_variants(spark):
     assert (s.total, s.processed, s.malformed, s.unsupported, s.groups) == (4, 2, 1, 1, 1)
 
 
+def test_reference_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vcf, "PIECE", 3, raising=False)
+    rnd = random.Random(4)
+    seq = "".join(rnd.choices("ACGT", k=50))
+    lines = [f"1\t{p}\t.\t{seq[p - 1 : p - 1 + n] or 'A'}\tT\t.\t.\t.\tGT\t0|1" for p, n in ((2, 1), (3, 1), (9, 11), (27, 2), (28, 4), (49, 5), (70, 1))]
+    rows = vcf.parse(spark.createDataFrame([("v", i, x) for i, x in enumerate(lines)], "vcf_id string, line_no long, line string"))
+    fasta = vcf.parse_fasta(spark.createDataFrame([("v", f">c\n{seq}\n"), ("w", ">d\nACGTACGTA")], "vcf_id string, text string"))
+    spans = {(r.begin, r.end): r.hap for r in vcf.haplotypes(rows, fasta).where("first.v = 0").collect()}
+    assert spans == {(b, e): seq[b:e] for b, e in ((1, 2), (2, 3), (8, 19), (26, 31), (48, 50), (69, 70))}
+    out = {r.eds_id: r.eds for r in eds.serialize(vcf.to_symbols(rows, fasta)).collect()}
+    want = [seq[0], f"{seq[1]},T", f"{seq[2]},T", seq[3:8], f"{seq[8:19]},T", seq[19:26], None, seq[31:48], f"{seq[48:50]},T", ",T"]
+    found = out["v"].strip("{}").split("}{")
+    assert out["w"] == "{ACGTACGTA}" and [w or f for w, f in zip(want, found, strict=True)] == found and found[6].startswith(f"{seq[26:31]},")
+    # no row holds a whole text and its distance in it: the plan cuts the text into pieces
+    assert "substring(seq" not in vcf.haplotypes(rows, fasta)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_queries_against_sql(spark):
     import duckdb
