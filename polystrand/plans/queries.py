@@ -32,7 +32,7 @@ def plain(symbols: DataFrame) -> DataFrame:
 
 
 def both_texts(symbols: DataFrame) -> DataFrame:
-    return eds.serialize(symbols).join(eds.serialize_sources(symbols), "eds_id")
+    return eds.serialize_both(symbols)
 
 
 @registered

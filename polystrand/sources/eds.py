@@ -4,7 +4,7 @@ A text table is (eds_id, eds[, seds]); symbols are (eds_id, pos, alts)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.algebra import ALTS, alts_text, src_text
@@ -76,15 +76,25 @@ def parse(texts: DataFrame, strict: bool = True) -> DataFrame:
     status = text_status(F.col("eds"), F.col("seds"))
     wrong = F.raise_error(F.concat(F.lit("malformed EDS or sources ("), status, F.lit("): "), F.coalesce("eds_id", F.lit("null"))))
     rows = rows.withColumn("eds", F.when(status == "OK", F.col("eds")).otherwise(wrong)) if strict else rows.where(status == "OK")
-    symbols = rows.select("eds_id", "seds", F.posexplode(found).alias("pos", "body")).select("eds_id", "seds", F.col("pos").cast("long").alias("pos"), F.split("body", ",", -1).alias("strings"))
+    strings = F.transform(found, lambda body: F.split(body, ",", -1))
+    none = F.lit(None).cast("array<int>")
     if not has_sources:
-        return symbols.select("eds_id", "pos", F.transform("strings", lambda s: F.struct(s.alias("s"), F.lit(None).cast("array<int>").alias("src"))).cast(ALTS).alias("alts"))
-    before = Window.partitionBy("eds_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = symbols.withColumn("first", F.coalesce(F.sum(F.size("strings")).over(before), F.lit(0)))
-    sets = source_sets(F.col("seds"))
-    missing = F.raise_error(F.concat(F.lit("sources do not match strings: "), F.col("eds_id"))).cast("array<int>")
-    of = lambda i: F.when(F.col("seds").isNull(), F.lit(None).cast("array<int>")).otherwise(F.coalesce(F.get("sets", (F.col("first") + i).cast("int")), missing))
-    return placed.withColumn("sets", sets).select("eds_id", "pos", F.transform("strings", lambda s, i: F.struct(s.alias("s"), of(i).alias("src"))).cast(ALTS).alias("alts"))
+        alts = F.transform(strings, lambda x: F.transform(x, lambda s: F.struct(s.alias("s"), none.alias("src"))))
+    else:
+        # within the row: a whole text with each symbol would grow with the square of a string
+        missing = F.raise_error(F.concat(F.lit("sources do not match strings: "), F.col("eds_id"))).cast("array<int>")
+        of = lambda t, i: F.when(t["sets"].isNull(), none).otherwise(F.coalesce(F.get(t["sets"], i.cast("int")), missing))
+        firsts = lambda t: F.filter(F.transform(F.flatten(F.transform(t["strings"], lambda x: F.transform(x, lambda _, i: i))), lambda k, i: F.when(k == 0, i)), lambda i: i.isNotNull())
+        each = lambda t: F.zip_with(t["strings"], t["firsts"], lambda x, first: F.transform(x, lambda s, k: F.struct(s.alias("s"), of(t, first + k).alias("src"))))
+        alts = bound(F.struct(strings.alias("strings"), source_sets(F.col("seds")).alias("sets")), lambda t: bound(F.struct(t["strings"].alias("strings"), t["sets"].alias("sets"), firsts(t).alias("firsts")), each))
+    symbols = rows.select("eds_id", F.posexplode(alts).alias("pos", "alts"))
+    return symbols.select("eds_id", F.col("pos").cast("long").alias("pos"), F.col("alts").cast(ALTS).alias("alts"))
+
+
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once a row: within a function over arrays Spark
+    computes an expression anew for each element, columns of a select before it included."""
+    return F.transform(F.array(value), then)[0]
 
 
 def serialize(symbols: DataFrame, compact: bool = False) -> DataFrame:
@@ -95,10 +105,21 @@ def serialize(symbols: DataFrame, compact: bool = False) -> DataFrame:
     return joined(symbols.select("eds_id", "pos", text.alias("t")), "eds")
 
 
-def serialize_sources(symbols: DataFrame) -> DataFrame:
+def sources_text() -> Column:
     none = F.raise_error(F.concat(F.lit("no sources are loaded: "), F.col("eds_id")))
-    text = F.array_join(F.transform("alts", lambda x: F.when(x["src"].isNull(), none).otherwise(src_text(x["src"]))), "")
-    return joined(symbols.select("eds_id", "pos", text.alias("t")), "seds")
+    return F.array_join(F.transform("alts", lambda x: F.when(x["src"].isNull(), none).otherwise(src_text(x["src"]))), "")
+
+
+def serialize_sources(symbols: DataFrame) -> DataFrame:
+    return joined(symbols.select("eds_id", "pos", sources_text().alias("t")), "seds")
+
+
+def serialize_both(symbols: DataFrame) -> DataFrame:
+    """(eds_id, eds, seds), the symbols read once."""
+    full = F.concat(F.lit("{"), alts_text(F.col("alts")), F.lit("}"))
+    rows = symbols.select("eds_id", F.struct("pos", full.alias("t"), sources_text().alias("u")).alias("x"))
+    rows = rows.groupBy("eds_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return rows.select("eds_id", *(F.array_join(F.transform("x", lambda v: v[c]), "").alias(n) for c, n in (("t", "eds"), ("u", "seds"))))  # noqa: B023
 
 
 def joined(rows: DataFrame, name: str) -> DataFrame:

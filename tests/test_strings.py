@@ -128,6 +128,22 @@ def test_large_strings_against_sql(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     found, want = against_sql(spark, tmp_path, "stats_text")
     assert found == want and int(found[0][2]) >= 1000
+    found, want = against_sql(spark, tmp_path, "parse_seds")
+    assert found == want
+
+
+def test_no_symbol_carries_its_whole_string(spark, monkeypatch):
+    rows = symbols(spark, ROW1, SRC1)
+    assert sources(rows) == SRC1 and "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    plans = []
+
+    def noted(df, write=leds.cut):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(leds, "cut", noted)
+    assert sources(leds.to_leds(rows, 3, linear=True)) == SRC1
+    assert plans and not any("collect_list(_u" in p for p in plans)
 
 
 def brute_leds(parts, least, linear):
