@@ -89,12 +89,16 @@ def to_leds(symbols: DataFrame, least: int, linear: bool = False) -> DataFrame:
         raise ValueError("the context length must be positive")
     if not linear:
         symbols = symbols.withColumn("alts", F.transform("alts", lambda x: F.struct(x["s"].alias("s"), F.lit(None).cast("array<int>").alias("src"))))
+    else:
+        symbols = cut(symbols.select("eds_id", "pos", "alts"))  # read twice
     rows = symbols.withColumn("_one", F.size("alts") == 1)
     fused = F.coalesce(F.col("_one") & F.lead("_one").over(in_order()), F.lit(False))
     if linear:
         union = F.array_sort(F.array_distinct(F.flatten(F.transform("alts", lambda x: x["src"]))))
         rows = rows.withColumn("_u", F.array_except(union, F.array(F.lit(0)))).withColumn("_any0", F.array_contains(union, 0))
-        rows = rows.withColumn("_all", F.size(F.array_distinct(F.flatten(F.collect_list("_u").over(whole())))))
+        # counted once a string: as a window, each symbol would carry all paths of all symbols
+        paths = rows.select("eds_id", F.explode("_u").alias("p")).distinct().groupBy("eds_id").agg(F.count("*").alias("_all"))
+        rows = rows.join(paths.hint("merge"), "eds_id", "left").withColumn("_all", F.coalesce("_all", F.lit(0)))
         empty = F.exists("alts", lambda x: F.size(x["src"]) == 0)
         partial = F.when(F.col("_one"), ~F.col("_any0")).otherwise((F.size("_u") < F.col("_all")) | empty)
     else:
